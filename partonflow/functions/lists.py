@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 Element = Callable[[Column], Column]
 
 
+def let(value: Column, body: Element) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def num(items: Column) -> Column:
     """Length of the list."""
     return F.size(items).cast("long")
@@ -125,13 +130,10 @@ def indexed(items: Column) -> Column:
 def without(items: Column, *drop: Column) -> Column:
     """List minus the elements at the given positions."""
 
-    def outside(_: Column, i: Column) -> Column:
-        cond = F.lit(True)
-        for d in drop:
-            cond = cond & (i != d)
-        return cond
+    def outside(taken: Column) -> Column:
+        return F.filter(items, lambda _, i: ~F.array_contains(taken, i))
 
-    return F.filter(items, outside)
+    return let(F.array(*drop), outside)
 
 
 def fill(value: Column, default: Column | float | int) -> Column:

@@ -5,6 +5,9 @@ moves between partitions.  ``make`` turns a combination into the value that is
 wanted; pass the final number instead of the default struct where possible, so
 that a list of masses is built and not a list of particle copies.  Cut lists
 before combining them: pairs grow with the square and triples with the cube.
+
+A list that is read inside a lambda is bound once per row (:func:`lists.let`);
+otherwise its defining expression would run again for every element.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from partonflow.functions import p4
+from partonflow.functions.lists import let
 
 Make = Callable[..., Column]
 
@@ -28,95 +32,130 @@ def _after(items: Column, i: Column) -> Column:
     return F.slice(items, i + 2, F.size(items))
 
 
+def arg_pairs(items: Column, make: Make = lambda i, j, a, b: _tuple(i, j)) -> Column:
+    """One value per pair of positions i < j, made from ``(i, j, a, b)``."""
+
+    def combine(xs: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                xs,
+                lambda a, i: F.transform(_after(xs, i), lambda b, d: make(i, i + d + 1, a, b)),
+            )
+        )
+
+    return let(items, combine)
+
+
 def pairs(items: Column, make: Make = _tuple) -> Column:
     """One value per unordered pair, first element before the second."""
-    return F.flatten(
-        F.transform(items, lambda a, i: F.transform(_after(items, i), lambda b: make(a, b)))
-    )
 
+    def combine(xs: Column) -> Column:
+        return F.flatten(
+            F.transform(xs, lambda a, i: F.transform(_after(xs, i), lambda b: make(a, b)))
+        )
 
-def arg_pairs(
-    items: Column, make: Make = lambda i, j, a, b: _tuple(i, j)
-) -> Column:
-    """One value per pair of positions i < j, made from ``(i, j, a, b)``."""
-    return F.flatten(
-        F.transform(
-            items,
-            lambda a, i: F.transform(_after(items, i), lambda b, d: make(i, i + d + 1, a, b)),
+    return let(items, combine)
+
+
+def arg_triples(items: Column, make: Make = lambda i, j, k, a, b, c: _tuple(i, j, k)) -> Column:
+    """One value per triple of positions i < j < k, made from ``(i, j, k, a, b, c)``."""
+
+    def combine(xs: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                xs,
+                lambda a, i: F.flatten(
+                    F.transform(
+                        _after(xs, i),
+                        lambda b, j: F.transform(
+                            _after(xs, i + j + 1),
+                            lambda c, k: make(i, i + j + 1, i + j + k + 2, a, b, c),
+                        ),
+                    )
+                ),
+            )
         )
-    )
+
+    return let(items, combine)
 
 
 def triples(items: Column, make: Make = _tuple) -> Column:
     """One value per unordered triple in list order."""
-    return F.flatten(
-        F.transform(
-            items,
-            lambda a, i: F.flatten(
-                F.transform(
-                    _after(items, i),
-                    lambda b, j: F.transform(
-                        _after(items, i + j + 1), lambda c: make(a, b, c)
-                    ),
-                )
-            ),
-        )
+    return arg_triples(items, lambda i, j, k, a, b, c: make(a, b, c))
+
+
+def cross_nested(left: Column, right: Column, make: Make = _tuple) -> Column:
+    """Cross pairs as one list per left element."""
+    return let(
+        right,
+        lambda ys: F.transform(left, lambda a: F.transform(ys, lambda b: make(a, b))),
     )
 
 
-def arg_triples(items: Column) -> Column:
-    """Positions ``(i0, i1, i2)`` of every unordered triple."""
-    return F.flatten(
-        F.transform(
+def cross(left: Column, right: Column, make: Make = _tuple) -> Column:
+    """Every pair across two lists of the event."""
+    return F.flatten(cross_nested(left, right, make))
+
+
+def nearest(items: Column, others: Column) -> Column:
+    """For each element ``(dr, i)`` of the closest element of ``others``, NULL without any."""
+
+    def closest(ys: Column) -> Column:
+        return F.transform(
             items,
-            lambda _, i: F.flatten(
+            lambda a: F.array_min(
                 F.transform(
-                    _after(items, i),
-                    lambda _b, j: F.transform(
-                        _after(items, i + j + 1),
-                        lambda _c, k: _tuple(i, i + j + 1, i + j + k + 2),
+                    ys,
+                    lambda b, i: F.struct(
+                        p4.stable(p4.delta_r(a, b)).alias("dr"), i.alias("i")
                     ),
                 )
             ),
         )
-    )
 
+    return let(others, closest)
 
-def cross(left: Column, right: Column, make: Make = _tuple) -> Column:
-    """Every pair across two lists of the event."""
-    return F.flatten(cross_nested(left, right, make))
 
+def apart(
+    items: Column, others: Column, radius: float, require_neighbour: bool = False
+) -> Column:
+    """Per element: is it further than ``radius`` from every element of ``others``?
 
-def cross_nested(left: Column, right: Column, make: Make = _tuple) -> Column:
-    """Cross pairs as one list per left element."""
-    return F.transform(left, lambda a: F.transform(right, lambda b: make(a, b)))
+    With no neighbour at all the answer is yes, or no with ``require_neighbour``.
+    """
 
+    def test(ys: Column) -> Column:
+        alone = F.size(ys) > 0 if require_neighbour else F.lit(True)
+        return F.transform(
+            items,
+            lambda a: alone & F.forall(ys, lambda b: p4.stable(p4.delta_r(a, b)) > radius),
+        )
 
-def nearest(a: Column, others: Column) -> Column:
-    """``(dr, i)`` of the element of ``others`` closest to ``a``; NULL if there is none."""
-    return F.array_min(
-        F.transform(others, lambda b, i: F.struct(p4.stable(p4.delta_r(a, b)).alias("dr"), i.alias("i")))
-    )
+    return let(others, test)
 
 
 def isolated(
     items: Column, others: Column, radius: float, require_neighbour: bool = False
 ) -> Column:
-    """Elements further than ``radius`` from every element of ``others``.
+    """Elements further than ``radius`` from every element of ``others``."""
 
-    With no neighbour at all an element counts as isolated.  With
-    ``require_neighbour`` it is dropped instead.
-    """
+    def test(ys: Column) -> Column:
+        alone = F.size(ys) > 0 if require_neighbour else F.lit(True)
+        return F.filter(
+            items,
+            lambda a: alone & F.forall(ys, lambda b: p4.stable(p4.delta_r(a, b)) > radius),
+        )
 
-    def far(a: Column) -> Column:
-        apart = F.forall(others, lambda b: p4.stable(p4.delta_r(a, b)) > radius)
-        return apart & (F.size(others) > 0) if require_neighbour else apart
+    return let(others, test)
 
-    return F.filter(items, far)
 
+def keep_at_minimum(items: Column, key: str) -> Column:
+    """All elements tied for the smallest value of field ``key``."""
+
+    def best(xs: Column) -> Column:
+        return let(
+            F.array_min(F.transform(xs, lambda x: x[key])),
+            lambda low: F.filter(xs, lambda x: x[key] == low),
+        )
 
-def keep_at_minimum(items: Column, distance: Callable[[Column], Column]) -> Column:
-    """All elements tied for the smallest distance."""
-    scored = F.transform(items, lambda x: F.struct(distance(x).alias("d"), x.alias("x")))
-    best = F.array_min(F.transform(items, distance))
-    return F.transform(F.filter(scored, lambda s: s["d"] == best), lambda s: s["x"])
+    return let(items, best)

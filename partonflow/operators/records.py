@@ -52,3 +52,14 @@ def follow(items: Column, target: Column, index_field: str, name: str) -> Column
 def counts_differ(df: DataFrame, lists: str, count: str) -> DataFrame:
     """Events whose list length differs from the stored count."""
     return df.filter(F.size(F.col(lists)) != F.col(count))
+
+
+def settle(df: DataFrame, keep: tuple[str, ...], columns: dict[str, Column]) -> DataFrame:
+    """Compute ``columns`` once per row and carry ``keep`` along.
+
+    Filters on computed columns are normally pushed below the projection by
+    substituting the expression, once per use, which repeats list work.  A
+    one-element ``inline`` is not a projection, so later steps see plain columns.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*keep, F.inline(F.array(row)))
