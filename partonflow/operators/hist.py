@@ -234,3 +234,25 @@ def cutflow(
         )
     )
     return sums.select(*by, rows.alias("row")).select(*by, "row.*")
+
+
+def fill_joint(
+    df: DataFrame,
+    axes: Sequence[Axis],
+    by: Sequence[str] = ("dataset",),
+    weight: str | None = None,
+) -> DataFrame:
+    """Histogram with several regular axes at once, one ``<axis>_bin`` column each.
+
+    The axis columns hold numbers; rows where any of them is NULL are not filled.
+    """
+    bins = [a.index(F.col(a.name)).alias(f"{a.name}_bin") for a in axes]
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.select(*by, F.inline(F.array(F.struct(*bins, w.alias("w"))))).na.drop(
+        subset=[f"{a.name}_bin" for a in axes]
+    )
+    return rows.groupBy(*by, *[f"{a.name}_bin" for a in axes]).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("w").alias("sumw"),
+        F.sum(F.col("w") * F.col("w")).alias("sumw2"),
+    )
