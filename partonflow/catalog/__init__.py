@@ -5,5 +5,5 @@ def load() -> None:
     """Import the modules that register queries."""
     from importlib import import_module
 
-    for module in ("scans", "elements", "benchmarks", "analyses", "streams"):
+    for module in ("scans", "elements", "combinations", "histograms", "kinematics", "benchmarks", "analyses", "streams"):
         import_module(f"partonflow.catalog.{module}")

@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def transverse_mass_numpy(
     pt_a: pd.Series, phi_a: pd.Series, pt_b: pd.Series, phi_b: pd.Series
 ) -> pd.Series:
