@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from partonflow.sources.branches import flatten_branches, zip_collections
-from partonflow.sources.detector import event_location
-from partonflow.sources.fileset import read_tree
+from partonflow.sources.detector import event_location, read_events
 
 
 @dataclass(frozen=True)
@@ -25,7 +24,7 @@ class Inputs:
 
     @property
     def events(self) -> DataFrame:
-        return read_tree(self.spark, self.location, "Events")
+        return read_events(self.spark, self.sf_dir)
 
     @property
     def branches(self) -> DataFrame:

@@ -14,7 +14,7 @@ also makes a dataset that holds most of the rows harmless.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,30 +35,33 @@ class Axis:
     def width(self) -> float:
         return (self.hi - self.lo) / self.bins
 
-    def index(self, value: Column) -> Column:
-        """Bin number, -1 below the range, ``bins`` above it, NULL for NULL."""
-        v = value.cast("double")
-        inside = F.floor((v - F.lit(float(self.lo))) / F.lit(self.width)).cast("int")
+    def bin_sql(self, value: str) -> str:
+        """Bin number as SQL: -1 below the range, ``bins`` above it, NULL for NULL.
+
+        As text an axis is one expression to build, not a dozen; analyses fill many.
+        """
+        lo, hi, width = (f"{float(x)!r}D" for x in (self.lo, self.hi, self.width))
         return (
-            F.when(v < self.lo, F.lit(-1))
-            .when(v >= self.hi, F.lit(self.bins))
-            .when(v.isNotNull(), F.least(inside, F.lit(self.bins - 1)))
+            f"CASE WHEN {value} < {lo} THEN -1 WHEN {value} >= {hi} THEN {self.bins} "
+            f"WHEN {value} IS NOT NULL THEN "
+            f"least(CAST(floor(({value} - {lo}) / {width}) AS INT), {self.bins - 1}) END"
         )
 
+    def index(self, column: str) -> Column:
+        """Bin number of a numeric column."""
+        return F.expr(self.bin_sql(f"`{column}`"))
+
 
-def _entries(df: DataFrame, axis: Axis, weight: str | None) -> Column:
+def _entries(df: DataFrame, axis: Axis, weight: str | None) -> str:
     """List of (variable, bin[, w]) entries that one row contributes to one axis."""
-    extra = [F.col(weight).cast("double").alias("w")] if weight else []
+    extra = f", 'w', CAST(`{weight}` AS DOUBLE)" if weight else ""
 
-    def entry(value: Column) -> Column:
-        return F.struct(
-            F.lit(axis.name).alias("variable"), axis.index(value).alias("bin"), *extra
-        )
+    def entry(value: str) -> str:
+        return f"named_struct('variable', '{axis.name}', 'bin', {axis.bin_sql(value)}{extra})"
 
-    value = F.col(axis.name)
     if isinstance(df.schema[axis.name].dataType, T.ArrayType):
-        return F.transform(value, entry)
-    return F.array(entry(value))
+        return f"transform(`{axis.name}`, v -> {entry('v')})"
+    return f"array({entry(f'`{axis.name}`')})"
 
 
 def fill(
@@ -68,10 +71,9 @@ def fill(
     weight: str | None = None,
 ) -> DataFrame:
     """Histogram of the columns named like the axes; list columns fill once per element."""
-    lists = [_entries(df, a, weight) for a in axes]
-    entries = lists[0] if len(lists) == 1 else F.concat(*lists)
-    exploded = df.select(*by, F.explode(entries).alias("entry"))
-    rows = exploded.select(*by, "entry.*").filter(F.col("bin").isNotNull())
+    entries = ", ".join(_entries(df, a, weight) for a in axes)
+    filled = df.select(*by, F.expr(f"inline(concat({entries}))"))
+    rows = filled.filter(F.col("bin").isNotNull())
     w = F.col("w") if weight else F.lit(1.0)
     grouped = rows.groupBy(*by, "variable", "bin")
     n = F.count(F.lit(1)).alias("n")
@@ -82,30 +84,28 @@ def fill(
     )
 
 
-def _axis_value(axes: Sequence[Axis], pick) -> Column:
-    expr: Column | None = None
-    for a in axes:
-        cond = F.col("variable") == a.name
-        expr = F.when(cond, pick(a)) if expr is None else expr.when(cond, pick(a))
-    return expr
+def _axis_value(axes: Sequence[Axis], pick: Callable[[Axis], str]) -> Column:
+    """SQL value chosen by the variable of the row."""
+    cases = " ".join(f"WHEN '{a.name}' THEN {pick(a)}" for a in axes)
+    return F.expr(f"CASE variable {cases} END")
 
 
 def edges(hist: DataFrame, axes: Sequence[Axis]) -> DataFrame:
     """Add the ``lo`` and ``hi`` edge of each visible bin."""
-    low = _axis_value(axes, lambda a: F.lit(float(a.lo)) + F.col("bin") * F.lit(a.width))
-    high = _axis_value(axes, lambda a: F.lit(float(a.lo)) + (F.col("bin") + 1) * F.lit(a.width))
+    low = _axis_value(axes, lambda a: f"{float(a.lo)!r}D + bin * {a.width!r}D")
+    high = _axis_value(axes, lambda a: f"{float(a.lo)!r}D + (bin + 1) * {a.width!r}D")
     return hist.withColumns({"lo": low, "hi": high})
 
 
 def visible(hist: DataFrame, axes: Sequence[Axis]) -> DataFrame:
     """Rows inside the axis range, with their edges."""
-    bins = _axis_value(axes, lambda a: F.lit(a.bins))
+    bins = _axis_value(axes, lambda a: str(a.bins))
     return edges(hist.filter((F.col("bin") >= 0) & (F.col("bin") < bins)), axes)
 
 
 def flow(hist: DataFrame, axes: Sequence[Axis]) -> DataFrame:
     """Entries outside the axis range, labelled ``underflow`` / ``overflow``."""
-    bins = _axis_value(axes, lambda a: F.lit(a.bins))
+    bins = _axis_value(axes, lambda a: str(a.bins))
     side = F.when(F.col("bin") < 0, "underflow").when(F.col("bin") >= bins, "overflow")
     return hist.withColumn("side", side).filter(F.col("side").isNotNull())
 
@@ -117,7 +117,7 @@ def dense(hist: DataFrame, axes: Sequence[Axis], by: Sequence[str] = ("dataset",
     entries) and read back per bin number, which needs no cross join.
     """
     cells = F.map_from_entries(F.collect_list(F.struct("bin", F.struct("n", "sumw", "sumw2"))))
-    last = _axis_value(axes, lambda a: F.lit(a.bins - 1))
+    last = _axis_value(axes, lambda a: str(a.bins - 1))
     per_category = hist.groupBy(*by, "variable").agg(cells.alias("cells"))
     spread = per_category.select(
         *by, "variable", "cells", F.explode(F.sequence(F.lit(0), last)).alias("bin")
@@ -246,7 +246,7 @@ def fill_joint(
 
     The axis columns hold numbers; rows where any of them is NULL are not filled.
     """
-    bins = [a.index(F.col(a.name)).alias(f"{a.name}_bin") for a in axes]
+    bins = [a.index(a.name).alias(f"{a.name}_bin") for a in axes]
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.select(*by, F.inline(F.array(F.struct(*bins, w.alias("w"))))).na.drop(
         subset=[f"{a.name}_bin" for a in axes]

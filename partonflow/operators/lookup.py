@@ -24,6 +24,6 @@ def with_factor(df: DataFrame, axis: Axis, table: DataFrame, default: float = 1.
     has at most ``axis.bins + 2`` rows, whatever the size of the data, which is
     what makes the broadcast safe.
     """
-    keyed = df.withColumn("bin", axis.index(F.col(axis.name)))
+    keyed = df.withColumn("bin", axis.index(axis.name))
     joined = keyed.join(F.broadcast(table), "bin", "left")
     return joined.withColumn("factor", F.coalesce(F.col("factor"), F.lit(default))).drop("bin")

@@ -243,9 +243,10 @@ class ThirdLeptonMt(Analysis):
             off = p4.stable(F.abs(p4.stable(p4.mass(a, b)) - Z_MASS))
             return F.when(signal, F.struct(off.alias("d"), i.alias("i0"), j.alias("i1")))
 
-        best = F.array_min(combine.arg_pairs(vectors, scored))
-        kept = lists.without(leptons, best["i0"], best["i1"])
-        return F.when(best.isNotNull(), kept)
+        def rest(best: Column) -> Column:
+            return F.when(best.isNotNull(), lists.without(leptons, best["i0"], best["i1"]))
+
+        return lists.let(F.array_min(combine.arg_pairs(vectors, scored)), rest)
 
     def process(self, events: DataFrame) -> DataFrame:
         third = lists.at_max(F.col("rest"), lambda x: x["pt"])

@@ -16,9 +16,11 @@ nested Parquet in one directory per dataset, and the queries scan that.
 from __future__ import annotations
 
 import hashlib
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from partonflow.sources.scratch import scratch_path
 
@@ -31,7 +33,8 @@ SAMPLES = (
     "ZZZ", "WWZ", "WZZ", "tttt", "WpWp", "WGToLNuG", "TGJets", "TTGJets",
 )
 
-_written: dict[tuple[str, str, str], str] = {}
+_written: dict[tuple[str, str], str] = {}
+_schemas: dict[str, StructType] = {}
 
 
 def cells(lineitem: DataFrame) -> DataFrame:
@@ -164,24 +167,49 @@ def assemble(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     )
 
 
-def _fingerprint(spark: SparkSession, *paths: str) -> str:
-    """Identity of the input files: count, bytes and latest change, one row to the driver."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-    row = files.agg(
-        F.count(F.lit(1)), F.sum("length"), F.max("modificationTime").cast("string")
-    ).first()
-    return hashlib.md5(repr((paths, tuple(row))).encode()).hexdigest()[:16]
+def _local_files(path: str) -> list[Path]:
+    root = Path(path)
+    return [f for f in root.rglob("*") if f.is_file()] if root.is_dir() else [root]
+
+
+def _fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Identity of the input files: number, bytes and latest change.
+
+    Files on this machine are looked up directly, which saves a Spark job per
+    query; for any other storage Spark lists them and one row comes back.
+    """
+    if all(Path(p).exists() for p in paths):
+        stats = [f.stat() for p in paths for f in _local_files(p)]
+        found = (len(stats), sum(s.st_size for s in stats), max(s.st_mtime_ns for s in stats))
+    else:
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+        found = tuple(
+            listing.agg(
+                F.count(F.lit(1)), F.sum("length"), F.max("modificationTime").cast("string")
+            ).first()
+        )
+    return hashlib.md5(repr((paths, found)).encode()).hexdigest()[:16]
 
 
 def event_location(spark: SparkSession, sf_dir: str) -> str:
     """Location holding the ``Events`` tree for these tables, written on first use."""
     inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "lineitem")]
-    key = (spark.sparkContext.applicationId, sf_dir, _fingerprint(spark, *inputs))
+    key = (spark.sparkContext.applicationId, _fingerprint(spark, inputs))
     if key not in _written:
-        location = scratch_path(spark, f"events-{key[2]}")
+        location = scratch_path(spark, f"events-{key[1]}")
         orders, lineitem = (spark.read.parquet(p) for p in inputs)
         assemble(orders, lineitem).write.mode("overwrite").partitionBy("dataset").parquet(
             f"{location}/Events"
         )
         _written[key] = location
     return _written[key]
+
+
+def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table of these tables; its schema is inferred once per application."""
+    location = event_location(spark, sf_dir)
+    known = _schemas.get(location)
+    reader = spark.read.schema(known) if known else spark.read
+    events = reader.parquet(f"{location}/Events")
+    _schemas[location] = events.schema
+    return events
