@@ -20,8 +20,13 @@ COMPONENTS = ("px", "py", "pz", "e")
 
 
 def stable(value: Column, decimals: int = 6) -> Column:
-    """Round a derived quantity so that cuts and bins do not depend on the last bit."""
-    return F.round(value, decimals)
+    """Round a derived quantity so that cuts and bins do not depend on the last bit.
+
+    ``rint`` on the scaled number works on doubles; ``round`` would go through a
+    decimal object for every value.
+    """
+    scale = float(10**decimals)
+    return F.rint(value * scale) / scale
 
 
 def px(v: Column) -> Column:

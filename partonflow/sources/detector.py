@@ -38,17 +38,21 @@ _schemas: dict[str, StructType] = {}
 
 
 def cells(lineitem: DataFrame) -> DataFrame:
-    """Deposits combined per (event, kind, tower)."""
+    """Deposits combined per (event, kind, tower), prices and rates as whole hundredths."""
+
+    def hundredths(column: str) -> Column:
+        return F.floor(F.col(column) * 100 + 0.5)
+
     is_f = F.when(F.col("l_linestatus") == "F", 1).otherwise(0)
     return (
         lineitem.select(
             F.col("l_orderkey").alias("event_id"),
             (F.col("l_partkey") % 6).cast("int").alias("kind"),
             (F.expr("l_partkey div 6") % TOWERS).cast("int").alias("tower"),
-            F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
+            hundredths("l_extendedprice").alias("cents"),
             F.col("l_quantity").cast("long").alias("qty"),
-            F.round(F.col("l_discount") * 100).cast("long").alias("disc"),
-            F.round(F.col("l_tax") * 100).cast("long").alias("tax"),
+            hundredths("l_discount").alias("disc"),
+            hundredths("l_tax").alias("tax"),
             F.col("l_partkey").alias("part"),
             F.col("l_suppkey").alias("supp"),
             F.col("l_linenumber").cast("long").alias("line"),
