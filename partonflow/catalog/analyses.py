@@ -50,7 +50,7 @@ WHERE a.charge + b.charge = 0
     ),
 )
 def zpeak(inputs: Inputs) -> DataFrame:
-    return ZPeak().dense_histogram(inputs.events)
+    return ZPeak().dense_histogram(inputs.events_for(ZPeak()))
 
 
 @query(
@@ -234,7 +234,7 @@ def thq_objects(inputs: Inputs) -> DataFrame:
         "loose electrons": F.size("electrons"),
         "tight electrons": tight_in("electrons"),
     }
-    return cutflow(st.objects(inputs.events), steps)
+    return cutflow(st.objects(inputs.events_for(TOP)), steps)
 
 
 @query(
@@ -246,7 +246,7 @@ def thq_objects(inputs: Inputs) -> DataFrame:
     ),
 )
 def thq_jet_masks(inputs: Inputs) -> DataFrame:
-    picked = st.objects(inputs.events)
+    picked = st.objects(inputs.events_for(TOP))
     return picked.select(
         "event_id",
         (lists.count_true(F.col("jets"), st.medium_b) >= 1).cast("int").alias("has_b"),
@@ -259,12 +259,12 @@ def thq_jet_masks(inputs: Inputs) -> DataFrame:
     q.sql("SELECT event_id FROM lmask", **selection()),
 )
 def thq_loose_mass_veto(inputs: Inputs) -> DataFrame:
-    picked = st.objects(inputs.events.filter(F.col("nMuon") + F.col("nElectron") >= 2))
+    picked = st.objects(inputs.events_for(TOP).filter(F.col("nMuon") + F.col("nElectron") >= 2))
     return picked.filter(st.pair_masses_all_at_least(F.col("leptons"), 12)).select("event_id")
 
 
 def _tight_only(inputs: Inputs) -> DataFrame:
-    picked = st.objects(inputs.events.filter(F.col("nMuon") + F.col("nElectron") >= 2))
+    picked = st.objects(inputs.events_for(TOP).filter(F.col("nMuon") + F.col("nElectron") >= 2))
     return picked.select(
         "event_id", lists.keep(F.col("leptons"), lambda x: x["tight"]).alias("tight")
     )
@@ -282,7 +282,7 @@ def thq_trilepton(inputs: Inputs) -> DataFrame:
 
 @query("thq_channels", q.sql("SELECT event_id, channel FROM chosen", **selection()))
 def thq_channels(inputs: Inputs) -> DataFrame:
-    return st.select(inputs.events).select("event_id", "channel")
+    return st.select(inputs.events_for(TOP)).select("event_id", "channel")
 
 
 @query(
@@ -291,7 +291,7 @@ def thq_channels(inputs: Inputs) -> DataFrame:
 )
 def thq_observables(inputs: Inputs) -> DataFrame:
     """All histograms of all channels from one scan; flow bins included."""
-    return TOP.histogram(inputs.events)
+    return TOP.histogram(inputs.events_for(TOP))
 
 
 @query(
@@ -323,7 +323,7 @@ def thq_observables(inputs: Inputs) -> DataFrame:
     ),
 )
 def thq_cutflow(inputs: Inputs) -> DataFrame:
-    return TOP.cutflow(inputs.events)
+    return TOP.cutflow(inputs.events_for(TOP))
 
 
 WEIGHTS = (
@@ -351,7 +351,7 @@ FROM hist JOIN scales USING (dataset) GROUP BY ALL""",
     ),
 )
 def thq_scaled(inputs: Inputs) -> DataFrame:
-    hist = TOP.scaled(inputs.events)
+    hist = TOP.scaled(inputs.events_for(TOP))
     return hist.withColumns({c: F.round(c, 6) for c in ("sumw", "sumw2")})
 
 
@@ -366,7 +366,7 @@ def thq_scaled(inputs: Inputs) -> DataFrame:
     ),
 )
 def tut_second_pt(inputs: Inputs) -> DataFrame:
-    return st.SecondLeptonPt().dense_histogram(inputs.events)
+    return st.SecondLeptonPt().dense_histogram(inputs.events_for(TOP))
 
 
 @query(
@@ -382,7 +382,7 @@ JOIN (SELECT event_id, eta, row_number() OVER (PARTITION BY event_id ORDER BY pt
     ),
 )
 def tut_etadiff(inputs: Inputs) -> DataFrame:
-    return st.ForwardJetGap().dense_histogram(inputs.events)
+    return st.ForwardJetGap().dense_histogram(inputs.events_for(TOP))
 
 
 EXPLORED = {

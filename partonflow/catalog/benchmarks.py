@@ -162,13 +162,13 @@ def _register(name: str) -> None:
 
     @query(name, HIST_SQL[name])
     def histogram(inputs: Inputs) -> DataFrame:
-        return analysis.dense_histogram(inputs.events)
+        return analysis.dense_histogram(inputs.events_for(analysis))
 
     if name in COUNTER_SQL:
 
         @query(f"{name}_cutflow", COUNTER_SQL[name])
         def counted(inputs: Inputs) -> DataFrame:
-            return analysis.cutflow(inputs.events)
+            return analysis.cutflow(inputs.events_for(analysis))
 
 
 for _name in BENCHMARKS:

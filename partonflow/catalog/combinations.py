@@ -11,15 +11,18 @@ from partonflow.catalog.registry import Inputs, query
 from partonflow.functions import lists, p4
 from partonflow.operators import combine, hist, lookup
 from partonflow.operators.hist import Axis
-from partonflow.operators.records import narrow, settle
+from partonflow.operators.records import settle
 
 P4 = ("pt", "eta", "phi", "mass")
 PAIRS = "FROM mu a JOIN mu b ON a.event_id = b.event_id AND a.idx < b.idx"
 LEP_PAIRS = "FROM lep a JOIN lep b ON a.event_id = b.event_id AND a.pos < b.pos"
 
 
+MUONS = {"Muon": (*P4, "charge")}
+
+
 def muon_vectors(*keep: str) -> Column:
-    return p4.with_cartesian(narrow("Muon", *dict.fromkeys((*P4, *keep))), *keep)
+    return p4.with_cartesian(F.col("Muon"), *keep)
 
 
 @query(
@@ -31,8 +34,8 @@ def muon_vectors(*keep: str) -> Column:
 )
 def pairs_self(inputs: Inputs) -> DataFrame:
     """Unordered muon pairs, reduced to their number and the pt sums of either side."""
-    two = inputs.events.filter(F.col("nMuon") >= 2)
-    df = settle(two, ("event_id",), {"p": combine.pairs(narrow("Muon", "pt", "eta"))})
+    two = inputs.reading(Muon=("pt", "eta")).filter(F.col("nMuon") >= 2)
+    df = settle(two, ("event_id",), {"p": combine.pairs(F.col("Muon"))})
     return per_event(
         df,
         pairs=lists.num(F.col("p")),
@@ -63,9 +66,9 @@ def pairs_self_values(inputs: Inputs) -> DataFrame:
     ),
 )
 def triples_self(inputs: Inputs) -> DataFrame:
-    three = inputs.events.filter(F.col("nJet") >= 3)
+    three = inputs.reading(Jet=P4).filter(F.col("nJet") >= 3)
     masses = combine.triples(
-        p4.with_cartesian(narrow("Jet", *P4)), lambda a, b, c: p4.stable(p4.mass(a, b, c))
+        p4.with_cartesian(F.col("Jet")), lambda a, b, c: p4.stable(p4.mass(a, b, c))
     )
     df = settle(three, ("event_id",), {"m": masses})
     return per_event(df, triples=lists.num(F.col("m")), heaviest=F.array_max("m"))
@@ -120,8 +123,9 @@ JET_MUON = "FROM jet j JOIN mu m ON m.event_id = j.event_id"
 )
 def cross_pairs(inputs: Inputs) -> DataFrame:
     """Every jet with every muon of the event."""
-    both = inputs.events.filter((F.col("nJet") >= 1) & (F.col("nMuon") >= 1))
-    gaps = combine.cross(narrow("Jet", "eta", "pt"), narrow("Muon", "eta", "pt"), p4.delta_eta)
+    events = inputs.reading(Jet=("eta",), Muon=("eta",))
+    both = events.filter((F.col("nJet") >= 1) & (F.col("nMuon") >= 1))
+    gaps = combine.cross(F.col("Jet"), F.col("Muon"), p4.delta_eta)
     df = settle(both, ("event_id",), {"g": gaps})
     return per_event(df, pairs=lists.num(F.col("g")), widest=p4.stable(F.array_max("g")))
 
@@ -172,8 +176,9 @@ def cross_scalar_list(inputs: Inputs) -> DataFrame:
 )
 def nearest_match(inputs: Inputs) -> DataFrame:
     """Closest muon of each jet."""
-    found = combine.nearest(narrow("Jet", "eta", "phi"), narrow("Muon", "eta", "phi"))
-    rows = inputs.events.select("event_id", F.posexplode(found).alias("pos", "n"))
+    events = inputs.reading(Jet=("eta", "phi"), Muon=("eta", "phi"))
+    found = combine.nearest(F.col("Jet"), F.col("Muon"))
+    rows = events.select("event_id", F.posexplode(found).alias("pos", "n"))
     return rows.select("event_id", "pos", "n.dr", F.col("n.i").alias("muon"))
 
 
@@ -186,8 +191,11 @@ def nearest_match(inputs: Inputs) -> DataFrame:
 )
 def isolation_filter(inputs: Inputs) -> DataFrame:
     """Jets further than 0.4 from every lepton."""
-    kept = combine.isolated(narrow("Jet", "pt", "eta", "phi"), leptons("eta", "phi"), 0.4)
-    return inputs.events.select("event_id", F.explode(kept).alias("j")).select("event_id", "j.pt")
+    events = inputs.reading(
+        Jet=("pt", "eta", "phi"), Muon=("eta", "phi"), Electron=("eta", "phi")
+    )
+    kept = combine.isolated(F.col("Jet"), leptons("eta", "phi"), 0.4)
+    return events.select("event_id", F.explode(kept).alias("j")).select("event_id", "j.pt")
 
 
 def window_pair() -> Column:
@@ -207,13 +215,13 @@ WINDOW_SQL = (
 
 @query("semi_exists_pair", q.sql(f"SELECT event_id FROM ev WHERE {WINDOW_SQL}"))
 def semi_exists_pair(inputs: Inputs) -> DataFrame:
-    two = inputs.events.filter(F.col("nMuon") >= 2)
+    two = inputs.reading(**MUONS).filter(F.col("nMuon") >= 2)
     return two.filter(window_pair()).select("event_id")
 
 
 @query("anti_exists_pair", q.sql(f"SELECT event_id FROM ev WHERE NOT {WINDOW_SQL}"))
 def anti_exists_pair(inputs: Inputs) -> DataFrame:
-    return inputs.events.filter((F.col("nMuon") < 2) | ~window_pair()).select("event_id")
+    return inputs.reading(**MUONS).filter((F.col("nMuon") < 2) | ~window_pair()).select("event_id")
 
 
 @query(
@@ -233,7 +241,7 @@ def mask_veto(inputs: Inputs) -> DataFrame:
         ),
     )
     veto = lists.some(offs, lambda d: d < 15)
-    return inputs.events.filter(F.col("nMuon") >= 1).filter(~veto).select("event_id")
+    return inputs.reading(**MUONS).filter(F.col("nMuon") >= 1).filter(~veto).select("event_id")
 
 
 BEST = {
@@ -260,7 +268,7 @@ def best_pair() -> Column:
 
 @query("closest_to_target", q.sql("SELECT event_id, m, d FROM best", **BEST))
 def closest_to_target(inputs: Inputs) -> DataFrame:
-    df = settle(inputs.events.filter(F.col("nMuon") >= 2), ("event_id",), {"best": best_pair()})
+    df = settle(inputs.reading(**MUONS).filter(F.col("nMuon") >= 2), ("event_id",), {"best": best_pair()})
     return df.filter(F.col("best").isNotNull()).select("event_id", "best.m", "best.d")
 
 
@@ -275,7 +283,7 @@ def closest_to_target(inputs: Inputs) -> DataFrame:
 def exclude_by_index(inputs: Inputs) -> DataFrame:
     """Muons outside the chosen pair."""
     df = settle(
-        inputs.events.filter(F.col("nMuon") >= 3),
+        inputs.reading(**MUONS).filter(F.col("nMuon") >= 3),
         ("event_id",),
         {"best": best_pair(), "pts": F.col("Muon.pt")},
     ).filter(F.col("best").isNotNull())
@@ -295,14 +303,14 @@ def exclude_by_index(inputs: Inputs) -> DataFrame:
 def best_by_key(inputs: Inputs) -> DataFrame:
     """Muon pair with the largest pt."""
     pairs = combine.pairs(
-        muon_vectors("phi"),
+        p4.with_cartesian(F.col("Muon"), "phi"),
         lambda a, b: F.struct(
             p4.stable(p4.pt(a, b)).alias("pt"),
             p4.stable(p4.delta_phi_raw(a["phi"], b["phi"])).alias("dphi"),
         ),
     )
     best = lists.at_max(pairs, lambda p: p["pt"])
-    df = settle(inputs.events.filter(F.col("nMuon") >= 2), ("event_id",), {"best": best})
+    df = settle(inputs.reading(**MUONS).filter(F.col("nMuon") >= 2), ("event_id",), {"best": best})
     return df.select("event_id", "best.*")
 
 
@@ -322,7 +330,7 @@ TAGGED = "SELECT event_id, pt, btag > 0.5e0 AS tagged, least(floor(pt / 5e0), 20
 )
 def lookup_binned(inputs: Inputs) -> DataFrame:
     """Tagging efficiency per pt bin, measured and then looked up for every jet."""
-    jets = inputs.events.select("dataset", F.explode(narrow("Jet", "pt", "btag")).alias("j"))
+    jets = inputs.events.select("dataset", F.explode("Jet").alias("j"))
     rows = jets.select("dataset", "j.pt", "j.btag")
     everything = hist.fill(rows, [TAG_AXIS], ())
     passed = hist.fill(rows.filter(F.col("btag") > 0.5), [TAG_AXIS], ())

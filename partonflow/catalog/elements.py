@@ -92,12 +92,9 @@ def with_field(inputs: Inputs) -> DataFrame:
 )
 def with_name(inputs: Inputs) -> DataFrame:
     """Electrons retyped to the common lepton struct."""
-    items = records.as_type(
-        records.narrow("Electron", "pt", "eta", "phi", "mass", "charge"),
-        LEPTON_TYPE,
-        flavor=F.lit(1),
-    )
-    return rows_of(inputs.events, items, *LEPTON_TYPE)
+    items = records.as_type(F.col("Electron"), LEPTON_TYPE, flavor=F.lit(1))
+    events = inputs.reading(Electron=("pt", "eta", "phi", "mass", "charge"))
+    return rows_of(events, items, *LEPTON_TYPE)
 
 
 def leptons(*fields: str) -> Column:
@@ -105,7 +102,7 @@ def leptons(*fields: str) -> Column:
     types = {f: LEPTON_TYPE[f] for f in fields} | {"flavor": "int"}
 
     def retyped(name: str, flavor: int) -> Column:
-        return records.as_type(records.narrow(name, *fields), types, flavor=F.lit(flavor))
+        return records.as_type(F.col(name), types, flavor=F.lit(flavor))
 
     return records.concat(retyped("Muon", 0), retyped("Electron", 1))
 
@@ -125,7 +122,8 @@ LEP = {
     ),
 )
 def concat_collections(inputs: Inputs) -> DataFrame:
-    return rows_of(inputs.events, leptons("pt", "charge"), "pt", "charge", "flavor")
+    events = inputs.reading(Muon=("pt", "charge"), Electron=("pt", "charge"))
+    return rows_of(events, leptons("pt", "charge"), "pt", "charge", "flavor")
 
 
 @query(
@@ -175,10 +173,9 @@ def fill_none(inputs: Inputs) -> DataFrame:
 )
 def cross_reference(inputs: Inputs) -> DataFrame:
     """The jet that each muon's index field points at."""
-    linked = records.follow(
-        records.narrow("Muon", "jetIdx"), records.narrow("Jet", "pt"), "jetIdx", "jet"
-    )
-    rows = rows_of(inputs.events, linked, "jet")
+    events = inputs.reading(Muon=("jetIdx",), Jet=("pt",))
+    linked = records.follow(F.col("Muon"), F.col("Jet"), "jetIdx", "jet")
+    rows = rows_of(events, linked, "jet")
     return rows.select("event_id", "pos", F.col("jet.pt").alias("jet_pt"))
 
 
@@ -188,10 +185,10 @@ def cross_reference(inputs: Inputs) -> DataFrame:
 )
 def where(inputs: Inputs) -> DataFrame:
     signed = F.transform(
-        records.narrow("Muon", "pt", "charge"),
+        "Muon",
         lambda x: F.struct(F.when(x["charge"] > 0, x["pt"]).otherwise(-x["pt"]).alias("signed_pt")),
     )
-    return rows_of(inputs.events, signed, "signed_pt")
+    return rows_of(inputs.reading(Muon=("pt", "charge")), signed, "signed_pt")
 
 
 # --- cuts -------------------------------------------------------------------------
@@ -258,14 +255,14 @@ def mask_and_or_not(inputs: Inputs) -> DataFrame:
 )
 def mask_two_range(inputs: Inputs) -> DataFrame:
     """Threshold by eta region; positions are those of the unfiltered list."""
-    items = lists.indexed(records.narrow("Electron", "eta", "mvaFall17V2noIso"))
+    events = inputs.reading(Electron=("eta", "mvaFall17V2noIso"))
 
     def passes(e: Column) -> Column:
         mva = e["x"]["mvaFall17V2noIso"]
         return st.by_region(e["x"]["eta"], mva > 0.6, mva > 0.7)
 
-    kept = lists.keep(items, passes)
-    return inputs.events.select("event_id", F.explode(kept).alias("k")).select(
+    kept = lists.keep(lists.indexed(F.col("Electron")), passes)
+    return events.select("event_id", F.explode(kept).alias("k")).select(
         "event_id", F.col("k.i").alias("pos")
     )
 
@@ -280,9 +277,9 @@ def mask_two_range(inputs: Inputs) -> DataFrame:
 )
 def mask_tiered(inputs: Inputs) -> DataFrame:
     """Tight is loose plus more cuts."""
-    muons = records.narrow("Muon", "pt", "eta", "looseId", "mediumId")
-    loose = lists.keep(muons, lambda x: (F.abs(x["eta"]) < 2.4) & (x["pt"] > 5) & x["looseId"])
-    tiers = records.settle(inputs.events, ("event_id",), {"loose": loose})
+    events = inputs.reading(Muon=("pt", "eta", "looseId", "mediumId"))
+    loose = lists.keep(F.col("Muon"), lambda x: (F.abs(x["eta"]) < 2.4) & (x["pt"] > 5) & x["looseId"])
+    tiers = records.settle(events, ("event_id",), {"loose": loose})
     tight = lists.count_true(F.col("loose"), lambda x: (x["pt"] > 15) & x["mediumId"])
     return per_event(tiers, loose=lists.num(F.col("loose")), tight=tight)
 
@@ -409,9 +406,8 @@ def list_argmax(inputs: Inputs) -> DataFrame:
     ),
 )
 def list_second_max(inputs: Inputs) -> DataFrame:
-    jets = records.narrow("Jet", "btag", "eta")
-    second = lists.at_second_max(jets, lambda j: j["btag"], lambda j: j["eta"])
-    return per_event(inputs.events, value=second)
+    second = lists.at_second_max(F.col("Jet"), lambda j: j["btag"], lambda j: j["eta"])
+    return per_event(inputs.reading(Jet=("btag", "eta")), value=second)
 
 
 # --- totals over all events -------------------------------------------------------

@@ -10,7 +10,6 @@ from partonflow.catalog.registry import Inputs, query
 from partonflow.functions import lists
 from partonflow.operators import hist
 from partonflow.operators.hist import Axis
-from partonflow.operators.records import narrow
 from partonflow.plans import single_top as st
 from partonflow.plans.benchmarks import MissingEnergy
 from partonflow.sources.fileset import count_entries
@@ -75,8 +74,8 @@ JOINT = (Axis("pt", 10, 0, 100), Axis("eta", 10, -2.5, 2.5), Axis("btag", 4, 0,
     ),
 )
 def hist_multi_axis(inputs: Inputs) -> DataFrame:
-    jets = inputs.events.select("dataset", F.explode(narrow("Jet", "pt", "eta", "btag")).alias("j"))
-    return hist.fill_joint(jets.select("dataset", "j.*"), JOINT)
+    jets = inputs.events.select("dataset", F.explode("Jet").alias("j"))
+    return hist.fill_joint(jets.select("dataset", "j.pt", "j.eta", "j.btag"), JOINT)
 
 
 @query("hist_dense", q.dense_hist(MET_FILLS, MET_AXES))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partonflow.catalog import sql as q
-from partonflow.catalog.combinations import PAIRS, muon_vectors
+from partonflow.catalog.combinations import MUONS, P4, PAIRS, muon_vectors
 from partonflow.catalog.elements import POS, leptons, per_event
 from partonflow.catalog.registry import Inputs, query
 from partonflow.functions import lists, p4
@@ -17,7 +17,7 @@ from partonflow.functions.vectorised import transverse_mass_numpy
 from partonflow.operators import combine
 from partonflow.operators.accumulate import accumulate
 from partonflow.operators.hist import Axis
-from partonflow.operators.records import narrow, settle
+from partonflow.operators.records import settle
 from partonflow.plans.analysis import Analysis
 
 FIRST_TWO = "FROM mu a JOIN mu b ON a.event_id = b.event_id AND a.idx = 0 AND b.idx = 1"
@@ -25,13 +25,13 @@ FIRST_TWO = "FROM mu a JOIN mu b ON a.event_id = b.event_id AND a.idx = 0 AND b.
 
 def first_two(inputs: Inputs, *fields: str) -> DataFrame:
     """Events with two or more muons: the first two as structs a and b."""
-    both = inputs.events.filter(F.col("nMuon") >= 2)
-    muons = settle(both, ("event_id",), {"m": narrow("Muon", *fields)})
+    both = inputs.reading(Muon=fields).filter(F.col("nMuon") >= 2)
+    muons = settle(both, ("event_id",), {"m": F.col("Muon")})
     return muons.select("event_id", F.col("m")[0].alias("a"), F.col("m")[1].alias("b"))
 
 
 def first_two_vectors(inputs: Inputs) -> DataFrame:
-    both = inputs.events.filter(F.col("nMuon") >= 2)
+    both = inputs.reading(**MUONS).filter(F.col("nMuon") >= 2)
     muons = settle(both, ("event_id",), {"m": muon_vectors()})
     return muons.select("event_id", F.col("m")[0].alias("a"), F.col("m")[1].alias("b"))
 
@@ -49,8 +49,8 @@ def of_two(df: DataFrame, function: Callable[[Column, Column], Column]) -> DataF
     "p4_xyz", q.sql(f"SELECT {POS}, round(px, 6) AS x, round(py, 6) AS y, round(pz, 6) AS z FROM jet")
 )
 def p4_xyz(inputs: Inputs) -> DataFrame:
-    vectors = p4.with_cartesian(narrow("Jet", "pt", "eta", "phi", "mass"))
-    rows = inputs.events.select("event_id", F.posexplode(vectors).alias("pos", "v"))
+    vectors = p4.with_cartesian(F.col("Jet"))
+    rows = inputs.reading(Jet=P4).select("event_id", F.posexplode(vectors).alias("pos", "v"))
     return rows.select(
         "event_id", "pos", *[F.round(f"v.{c}", 6).alias(c[1]) for c in ("px", "py", "pz")]
     )
@@ -58,8 +58,8 @@ def p4_xyz(inputs: Inputs) -> DataFrame:
 
 @query("p4_energy", q.sql(f"SELECT {POS}, round(e, 6) AS energy FROM jet"))
 def p4_energy(inputs: Inputs) -> DataFrame:
-    energies = F.transform(narrow("Jet", "pt", "eta", "phi", "mass"), p4.energy)
-    rows = inputs.events.select("event_id", F.posexplode(energies).alias("pos", "energy"))
+    energies = F.transform("Jet", p4.energy)
+    rows = inputs.reading(Jet=P4).select("event_id", F.posexplode(energies).alias("pos", "energy"))
     return rows.withColumn("energy", F.round("energy", 6))
 
 
@@ -192,7 +192,8 @@ def total_charge(inputs: Inputs) -> DataFrame:
 )
 def flavour_code(inputs: Inputs) -> DataFrame:
     """Sum of flavour tags of events with two leptons: 0 mumu, 1 emu, 2 ee."""
-    two = inputs.events.filter(F.col("nMuon") + F.col("nElectron") == 2)
+    events = inputs.reading(Muon=("pt",), Electron=("pt",))
+    two = events.filter(F.col("nMuon") + F.col("nElectron") == 2)
     tagged = settle(two, ("event_id",), {"l": leptons("pt")})
     code = lists.total_int(F.col("l.flavor"))
     return per_event(tagged, kind=F.when(code == 0, "mumu").when(code == 1, "emu").otherwise("ee"))
@@ -269,7 +270,7 @@ def closest(masses: Column, target: float) -> Column:
 def helper_function(inputs: Inputs) -> DataFrame:
     """A Python function from Column to Column used inside a query."""
     masses = combine.pairs(muon_vectors(), lambda a, b: p4.stable(p4.mass(a, b)))
-    two = inputs.events.filter(F.col("nMuon") >= 2)
+    two = inputs.reading(**MUONS).filter(F.col("nMuon") >= 2)
     return per_event(two, distance=closest(masses, 91.2))
 
 
@@ -280,7 +281,7 @@ def helper_function(inputs: Inputs) -> DataFrame:
 def compiled_udf(inputs: Inputs) -> DataFrame:
     """Plain numpy over Arrow batches of exploded muons."""
     muons = inputs.events.select(
-        "event_id", "MET", F.posexplode(narrow("Muon", "pt", "phi")).alias("pos", "m")
+        "event_id", "MET", F.posexplode("Muon").alias("pos", "m")
     )
     mt = transverse_mass_numpy(
         F.col("MET.pt"), F.col("MET.phi"), F.col("m.pt"), F.col("m.phi")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partonflow.sources.branches import flatten_branches, zip_collections
+from partonflow.plans.analysis import Analysis
+from partonflow.sources.branches import BRANCH_FIELDS, flatten_branches, zip_collections
 from partonflow.sources.detector import event_location, read_events
 
 
@@ -26,9 +27,16 @@ class Inputs:
     def events(self) -> DataFrame:
         return read_events(self.spark, self.sf_dir)
 
+    def reading(self, **collections: Sequence[str]) -> DataFrame:
+        """The event tree with these collections limited to the named fields."""
+        return read_events(self.spark, self.sf_dir, collections)
+
+    def events_for(self, analysis: Analysis) -> DataFrame:
+        return read_events(self.spark, self.sf_dir, analysis.reads)
+
     @property
     def branches(self) -> DataFrame:
-        return flatten_branches(self.events)
+        return flatten_branches(self.reading(**BRANCH_FIELDS))
 
     @property
     def zipped(self) -> DataFrame:

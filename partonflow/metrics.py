@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partonflow.plans.analysis import Analysis
+from partonflow.sources.fileset import read_paths
 from partonflow.sources.scratch import scratch_path
 
 
@@ -38,7 +39,7 @@ def run_with_metrics(
     the row counts in the file footers.  Observing the scan during the run would
     keep nested columns from being pruned and cost far more.
     """
-    events = spark.read.parquet(path)
+    events = read_paths(spark, [path], analysis.reads)
     hist = analysis.histogram(events)
     out = scratch_path(spark, f"runs/{name}-{time.time_ns()}")
     start = time.perf_counter()

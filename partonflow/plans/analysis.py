@@ -4,6 +4,7 @@ An analysis declares its axes and builds plans; it never touches rows.
 
 * ``process(events)`` returns a DataFrame with the category columns and one
   column per axis, a number or a list of numbers, NULL meaning "no entry";
+* ``reads`` lists the collection fields in use;
 * ``counters()`` names the cutflow steps and what one event adds to each;
 * ``postprocess(hist)`` adjusts the merged histogram.
 
@@ -12,7 +13,7 @@ The same ``process`` serves batch and streaming input.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 
@@ -23,6 +24,8 @@ class Analysis:
     axes: Sequence[Axis] = ()
     by: Sequence[str] = ("dataset",)
     weight: str | None = None
+    #: Fields of each collection in use, for readers that can skip the others.
+    reads: Mapping[str, Sequence[str]] = {}
 
     def process(self, events: DataFrame) -> DataFrame:
         raise NotImplementedError

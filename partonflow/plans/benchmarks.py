@@ -1,8 +1,8 @@
 """The eight benchmark queries on events with jets, muons, electrons and MET.
 
-Shape of every query: cut on the stored counts first (a plain comparison that
-reaches the Parquet reader), narrow the collections to the fields in use, and
-only then run list expressions.
+Shape of every query: declare the collection fields in use, cut on the stored
+counts (a plain comparison that reaches the Parquet reader), and only then run
+list expressions.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from partonflow.functions import lists, p4
 from partonflow.operators import combine
 from partonflow.operators.hist import Axis
-from partonflow.operators.records import as_type, concat, narrow
+from partonflow.operators.records import as_type, concat
 from partonflow.plans.analysis import Analysis
 
 # Reference masses in GeV.
@@ -49,9 +49,10 @@ class CentralJetPt(Analysis):
     """pt of jets with abs(eta) < 1."""
 
     axes = (Axis("Jet_pt", 100, 15, 60),)
+    reads = {"Jet": ("pt", "eta")}
 
     def prepare(self, events: DataFrame) -> DataFrame:
-        jets = events.select("dataset", narrow("Jet", "pt", "eta"))
+        jets = events.select("dataset", "Jet")
         return jets.withColumn("good", lists.keep(F.col("Jet"), lambda j: F.abs(j["eta"]) < 1))
 
     def process(self, events: DataFrame) -> DataFrame:
@@ -90,9 +91,10 @@ class MissingEnergyDimuon(Analysis):
     """MET of events with an opposite-charge muon pair of mass in [60, 120)."""
 
     axes = (Axis("MET", 50, 1, 100),)
+    reads = {"Muon": ("pt", "eta", "phi", "mass", "charge")}
 
     def _passes(self) -> Column:
-        muons = p4.with_cartesian(narrow("Muon", "pt", "eta", "phi", "mass", "charge"), "charge")
+        muons = p4.with_cartesian(F.col("Muon"), "charge")
         masses = combine.pairs(
             muons, lambda a, b: F.when(a["charge"] != b["charge"], p4.stable(p4.mass(a, b)))
         )
@@ -121,11 +123,10 @@ class Trijet(Analysis):
 
     def __init__(self, tag: str = "btag", target: float = TOP_MASS):
         self.tag, self.target = tag, target
+        self.reads = {"Jet": ("pt", "eta", "phi", "mass", tag)}
 
     def process(self, events: DataFrame) -> DataFrame:
-        jets = lists.keep(
-            narrow("Jet", "pt", "eta", "phi", "mass", self.tag), lambda j: j["pt"] > 30
-        )
+        jets = lists.keep(F.col("Jet"), lambda j: j["pt"] > 30)
 
         def summed(a: Column, b: Column, c: Column) -> Column:
             tag = p4.elementwise_max(a[self.tag], b[self.tag], c[self.tag])
@@ -151,13 +152,14 @@ class IsolatedJetHt(Analysis):
     """Sum of pt of jets above 30 that are further than 0.4 from every lepton above 10."""
 
     axes = (Axis("Jet_pt", 100, 15, 200),)
+    reads = {c: ("pt", "eta", "phi") for c in ("Jet", "Muon", "Electron")}
 
     def __init__(self, radius: float = 0.4, require_lepton: bool = False):
         self.radius, self.require_lepton = radius, require_lepton
 
     def prepare(self, events: DataFrame) -> DataFrame:
         def above(collection: str, cut: float) -> Column:
-            return lists.keep(narrow(collection, "pt", "eta", "phi"), lambda x: x["pt"] > cut)
+            return lists.keep(F.col(collection), lambda x: x["pt"] > cut)
 
         picked = events.select(
             "dataset",
@@ -217,11 +219,11 @@ class ThirdLeptonMt(Analysis):
     """Transverse mass of MET and the hardest lepton outside the best Z candidate."""
 
     axes = (Axis("massT", 50, 15, 250),)
+    reads = {c: ("pt", "eta", "phi", "mass", "charge") for c in ("Muon", "Electron")}
 
     def prepare(self, events: DataFrame) -> DataFrame:
         def selected(collection: str, flavor: int, eta: float) -> Column:
-            fields = narrow(collection, "pt", "eta", "phi", "mass", "charge")
-            good = lists.keep(fields, lambda x: (x["pt"] > 10) & (F.abs(x["eta"]) < eta))
+            good = lists.keep(F.col(collection), lambda x: (x["pt"] > 10) & (F.abs(x["eta"]) < eta))
             return as_type(good, LEPTON_TYPE, flavor=F.lit(flavor))
 
         leptons = events.select(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from partonflow.functions import lists, p4
 from partonflow.operators.hist import Axis
-from partonflow.operators.records import narrow
 from partonflow.plans.analysis import Analysis
 
 
@@ -27,11 +26,11 @@ class ZPeak(Analysis):
     """Pair mass of events with exactly two muons of opposite charge."""
 
     axes = (Axis("dimu_mass", 50, 20, 120),)
+    reads = {"Muon": ("pt", "eta", "phi", "mass", "charge")}
 
     def process(self, events: DataFrame) -> DataFrame:
-        muons = narrow("Muon", "pt", "eta", "phi", "mass", "charge")
         return events.filter(F.col("nMuon") == 2).select(
-            "dataset", neutral_pair_mass(muons, "charge").alias("dimu_mass")
+            "dataset", neutral_pair_mass(F.col("Muon"), "charge").alias("dimu_mass")
         )
 
 
@@ -46,9 +45,9 @@ class SameFlavourMass(Analysis):
 
     def process(self, events: DataFrame) -> DataFrame:
         def mass(collection: str) -> Column:
-            fields = narrow(collection, "pt", "eta", "phi", "energy", "ch")
-            return neutral_pair_mass(
-                lists.keep(fields, lambda x: x["pt"] > 10), "ch", stored_energy=True
+            hard = lists.keep(F.col(collection), lambda x: x["pt"] > 10)
+            return F.when(
+                F.size(collection) >= 2, neutral_pair_mass(hard, "ch", stored_energy=True)
             )
 
         both = events.select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from partonflow.functions import lists, p4
 from partonflow.operators import combine
 from partonflow.operators.hist import Axis, regroup, scale
-from partonflow.operators.records import concat, narrow, settle
+from partonflow.operators.records import concat, settle
 from partonflow.plans.analysis import Analysis
 from partonflow.sources.fileset import count_entries
 
@@ -66,6 +66,13 @@ ELECTRON_FIELDS = (
 )
 
 
+READS = {
+    "Jet": ("pt", "eta", "btagCSVV2"),
+    "Muon": MUON_FIELDS,
+    "Electron": ELECTRON_FIELDS,
+}
+
+
 def by_region(eta: Column, barrel: Column, endcap: Column) -> Column:
     """A cut that differs between barrel and endcap; the boundary itself passes neither."""
     a = F.abs(eta)
@@ -125,14 +132,14 @@ def light(j: Column) -> Column:
 def objects(events: DataFrame, min_tight_charge: int = 0) -> DataFrame:
     """Selected leptons and jets of every event."""
 
-    def leptons(collection, fields, flavor, loose, tight) -> Column:
-        kept = lists.keep(narrow(collection, *fields), loose)
+    def leptons(collection, flavor, loose, tight) -> Column:
+        kept = lists.keep(F.col(collection), loose)
         return F.transform(kept, lambda x: _lepton(x, flavor, tight(x, min_tight_charge)))
 
     columns = {
-        "muons": leptons("Muon", MUON_FIELDS, 0, loose_muon, tight_muon),
-        "electrons": leptons("Electron", ELECTRON_FIELDS, 1, loose_electron, tight_electron),
-        "all_jets": narrow("Jet", "pt", "eta", "btagCSVV2"),
+        "muons": leptons("Muon", 0, loose_muon, tight_muon),
+        "electrons": leptons("Electron", 1, loose_electron, tight_electron),
+        "all_jets": F.col("Jet"),
     }
     picked = settle(events.withColumn("dataset", F.col("sample")), ("event_id", "dataset"), columns)
     return picked.withColumns(
@@ -206,6 +213,7 @@ class SingleTop(Analysis):
     """Ten observables in the channels lll, mumu, emu and ee."""
 
     by = ("dataset", "channel")
+    reads = READS
     axes = (
         Axis("3rdLepton_pT", 18, 0, 90),
         Axis("subleadLepton_pT", 18, 0, 144),
@@ -317,6 +325,7 @@ class SecondLeptonPt(Analysis):
     """pt of the second lepton in the mumu and ee channels, stricter charge cut."""
 
     axes = (Axis("pt2", 20, 0, 150),)
+    reads = READS
     by = ("channel",)
 
     def process(self, events: DataFrame) -> DataFrame:
@@ -328,6 +337,7 @@ class ForwardJetGap(Analysis):
     """Eta gap between the max-eta light jet and the max-pt b jet, mumu channel, all jets."""
 
     axes = (Axis("etadiff", 20, 0, 6),)
+    reads = READS
     by = ("channel",)
 
     def process(self, events: DataFrame) -> DataFrame:

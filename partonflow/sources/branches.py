@@ -18,6 +18,13 @@ SINGLE_RECORDS = ("met",)
 RENAMED_FIELDS = {"e": "energy"}
 DROPPED_FIELDS = {"PV": "npvs"}
 
+# What :func:`flatten_branches` uses of the nested collections.
+BRANCH_FIELDS = {
+    "Jet": ("pt", "eta", "phi", "mass"),
+    "Muon": ("pt", "eta", "phi", "mass", "charge"),
+    "Electron": ("pt", "eta", "phi", "mass", "charge"),
+}
+
 
 def flatten_branches(events: DataFrame) -> DataFrame:
     """The event table as flat branches."""

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from partonflow.sources.fileset import Reads, read_paths
 from partonflow.sources.scratch import scratch_path
 
 KINDS = {"Jet": 0, "Muon": 1, "Electron": 2}
@@ -209,11 +210,10 @@ def event_location(spark: SparkSession, sf_dir: str) -> str:
     return _written[key]
 
 
-def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def read_events(spark: SparkSession, sf_dir: str, reads: Reads | None = None) -> DataFrame:
     """The event table of these tables; its schema is inferred once per application."""
     location = event_location(spark, sf_dir)
-    known = _schemas.get(location)
-    reader = spark.read.schema(known) if known else spark.read
-    events = reader.parquet(f"{location}/Events")
-    _schemas[location] = events.schema
-    return events
+    tree = f"{location}/Events"
+    if location not in _schemas:
+        _schemas[location] = spark.read.parquet(tree).schema
+    return read_paths(spark, [tree], reads, _schemas[location])

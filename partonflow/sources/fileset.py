@@ -7,15 +7,52 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 
-def read_tree(spark: SparkSession, location: str, tree: str) -> DataFrame:
+Reads = Mapping[str, Sequence[str]]
+
+
+def narrowed(schema: StructType, reads: Reads) -> StructType:
+    """The schema with the collections in ``reads`` cut down to the named fields."""
+    fields = []
+    for field in schema:
+        if field.name in reads:
+            element = field.dataType.elementType
+            kept = StructType([f for f in element if f.name in set(reads[field.name])])
+            field = StructField(field.name, ArrayType(kept), field.nullable)
+        fields.append(field)
+    return StructType(fields)
+
+
+def read_paths(
+    spark: SparkSession, paths: Sequence[str], reads: Reads | None = None,
+    schema: StructType | None = None,
+) -> DataFrame:
+    """Parquet paths, with the collections in ``reads`` limited to the named fields.
+
+    A lambda over a list of structs makes a scan read every field of the struct.
+    Declaring the wanted fields as the read schema avoids that, and unlike
+    zipping field columns together it costs nothing per row.
+    """
+    if not reads:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(*paths)
+    schema = schema or spark.read.parquet(*paths).schema
+    return spark.read.schema(narrowed(schema, reads)).parquet(*paths)
+
+
+def read_tree(
+    spark: SparkSession, location: str, tree: str, reads: Reads | None = None
+) -> DataFrame:
     """The table called ``tree`` inside a storage location."""
-    return spark.read.parquet(f"{location.rstrip('/')}/{tree}")
+    return read_paths(spark, [f"{location.rstrip('/')}/{tree}"], reads)
 
 
 def read_fileset(
-    spark: SparkSession, fileset: Mapping[str, Sequence[str]], tree: str | None = None
+    spark: SparkSession,
+    fileset: Mapping[str, Sequence[str]],
+    tree: str | None = None,
+    reads: Reads | None = None,
 ) -> DataFrame:
     """All files of all datasets as one DataFrame with a ``dataset`` column.
 
@@ -26,7 +63,7 @@ def read_fileset(
     parts = []
     for name, files in fileset.items():
         paths = [f"{f.rstrip('/')}/{tree}" if tree else f for f in files]
-        parts.append(spark.read.parquet(*paths).withColumn("dataset", F.lit(name)))
+        parts.append(read_paths(spark, paths, reads).withColumn("dataset", F.lit(name)))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
