@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -210,10 +211,28 @@ def event_location(spark: SparkSession, sf_dir: str) -> str:
     return _written[key]
 
 
+def _forget(location: str) -> None:
+    for key in [k for k, v in _written.items() if v == location]:
+        del _written[key]
+
+
 def read_events(spark: SparkSession, sf_dir: str, reads: Reads | None = None) -> DataFrame:
-    """The event table of these tables; its schema is inferred once per application."""
+    """The event table of these tables; its schema is inferred once per application.
+
+    A table that was removed from the scratch folder is written again.
+    """
+
+    def read(location: str) -> DataFrame:
+        tree = f"{location}/Events"
+        if location not in _schemas:
+            _schemas[location] = spark.read.parquet(tree).schema
+        return read_paths(spark, [tree], reads, _schemas[location])
+
     location = event_location(spark, sf_dir)
-    tree = f"{location}/Events"
-    if location not in _schemas:
-        _schemas[location] = spark.read.parquet(tree).schema
-    return read_paths(spark, [tree], reads, _schemas[location])
+    try:
+        return read(location)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        _forget(location)
+        return read(event_location(spark, sf_dir))

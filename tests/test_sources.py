@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +73,16 @@ def test_changed_tables_are_assembled_again(spark, tmp_path):
     assert detector.read_events(spark, str(tmp_path)).count() == 9
 
 
+def test_removed_event_table_is_written_again(spark, tmp_path):
+    orders, lineitem = tables(spark)
+    orders.limit(4).write.parquet(f"{tmp_path}/orders.parquet")
+    lineitem.limit(40).write.parquet(f"{tmp_path}/lineitem.parquet")
+    detector.read_events(spark, str(tmp_path))
+    location = detector.event_location(spark, str(tmp_path))
+    shutil.rmtree(location.removeprefix("file:"))
+    assert detector.read_events(spark, str(tmp_path)).count() == 4
+
+
 def test_fingerprint_without_local_files_lists_with_spark(spark):
     remote = f"file://{SMALL}/orders.parquet"
     assert len(detector._fingerprint(spark, [remote])) == 16
