@@ -52,16 +52,20 @@ class Axis:
         return F.expr(self.bin_sql(f"`{column}`"))
 
 
-def _entries(df: DataFrame, axis: Axis, weight: str | None) -> str:
-    """List of (variable, bin[, w]) entries that one row contributes to one axis."""
-    extra = f", 'w', CAST(`{weight}` AS DOUBLE)" if weight else ""
-
-    def entry(value: str) -> str:
-        return f"named_struct('variable', '{axis.name}', 'bin', {axis.bin_sql(value)}{extra})"
-
-    if isinstance(df.schema[axis.name].dataType, T.ArrayType):
-        return f"transform(`{axis.name}`, v -> {entry('v')})"
-    return f"array({entry(f'`{axis.name}`')})"
+def _values(df: DataFrame, axes: Sequence[Axis]) -> str:
+    """Generator of (axis, v): one row per entry, ``axis`` being the number of the axis."""
+    parts = []
+    for number, axis in enumerate(axes):
+        listed = isinstance(df.schema[axis.name].dataType, T.ArrayType)
+        value = f"`{axis.name}`"
+        if len(axes) == 1:
+            return f"explode({value if listed else f'array({value})'}) AS v"
+        entry = f"named_struct('axis', {number}, 'v', CAST({{}} AS DOUBLE))"
+        if listed:
+            parts.append(f"transform({value}, v -> {entry.format('v')})")
+        else:
+            parts.append(f"array({entry.format(value)})")
+    return f"inline(concat({', '.join(parts)}))"
 
 
 def fill(
@@ -70,15 +74,27 @@ def fill(
     by: Sequence[str] = ("dataset",),
     weight: str | None = None,
 ) -> DataFrame:
-    """Histogram of the columns named like the axes; list columns fill once per element."""
-    entries = ", ".join(_entries(df, a, weight) for a in axes)
-    filled = df.select(*by, F.expr(f"inline(concat({entries}))"))
-    rows = filled.filter(F.col("bin").isNotNull())
-    w = F.col("w") if weight else F.lit(1.0)
-    grouped = rows.groupBy(*by, "variable", "bin")
+    """Histogram of the columns named like the axes; list columns fill once per element.
+
+    Values are exploded first and binned afterwards, so that binning runs in
+    generated code.  The generator also keeps the NULL test from being pushed
+    into the expression of the value, which would compute it twice.
+    """
+    carried = [F.col(weight).cast("double").alias("w")] if weight else []
+    values = df.select(*by, *carried, F.expr(_values(df, axes))).filter("v IS NOT NULL")
+    number = "CAST(0 AS INT)" if len(axes) == 1 else "axis"
+    names = " ".join(f"WHEN {i} THEN '{a.name}'" for i, a in enumerate(axes))
+    bins = " ".join(f"WHEN {i} THEN {a.bin_sql('v')}" for i, a in enumerate(axes))
+    rows = values.select(
+        *by,
+        *(["w"] if weight else []),
+        F.expr(f"CASE {number} {names} END").alias("variable"),
+        F.expr(f"CASE {number} {bins} END").alias("bin"),
+    )
     n = F.count(F.lit(1)).alias("n")
+    grouped = rows.groupBy(*by, "variable", "bin")
     if weight:
-        return grouped.agg(n, F.sum(w).alias("sumw"), F.sum(w * w).alias("sumw2"))
+        return grouped.agg(n, F.sum("w").alias("sumw"), F.sum(F.col("w") * F.col("w")).alias("sumw2"))
     return grouped.agg(n).withColumns(
         {"sumw": F.col("n").cast("double"), "sumw2": F.col("n").cast("double")}
     )

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from pathlib import Path
+from threading import Lock
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,7 @@ SAMPLES = (
 
 _written: dict[tuple[str, str], str] = {}
 _schemas: dict[str, StructType] = {}
+_writing = Lock()
 
 
 def cells(lineitem: DataFrame) -> DataFrame:
@@ -201,14 +203,15 @@ def event_location(spark: SparkSession, sf_dir: str) -> str:
     """Location holding the ``Events`` tree for these tables, written on first use."""
     inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "lineitem")]
     key = (spark.sparkContext.applicationId, _fingerprint(spark, inputs))
-    if key not in _written:
-        location = scratch_path(spark, f"events-{key[1]}")
-        orders, lineitem = (spark.read.parquet(p) for p in inputs)
-        assemble(orders, lineitem).write.mode("overwrite").partitionBy("dataset").parquet(
-            f"{location}/Events"
-        )
-        _written[key] = location
-    return _written[key]
+    with _writing:
+        if key not in _written:
+            location = scratch_path(spark, f"events-{key[1]}")
+            orders, lineitem = (spark.read.parquet(p) for p in inputs)
+            assemble(orders, lineitem).write.mode("overwrite").partitionBy("dataset").parquet(
+                f"{location}/Events"
+            )
+            _written[key] = location
+        return _written[key]
 
 
 def _forget(location: str) -> None:
