@@ -233,11 +233,6 @@ def processor_api(inputs: Inputs) -> DataFrame:
     return LeadingMuon().histogram(inputs.events)
 
 
-def _met_numbers(chunk: pd.DataFrame) -> dict[str, float]:
-    hard = chunk["met"] > 100
-    return {"events": len(chunk), "hard": hard.sum(), "hard_jets": chunk["jets"][hard].sum()}
-
-
 @query(
     "accumulator_udaf",
     q.sql(
@@ -249,10 +244,15 @@ def _met_numbers(chunk: pd.DataFrame) -> dict[str, float]:
 )
 def accumulator_udaf(inputs: Inputs) -> DataFrame:
     """User accumulator over Arrow batches, merged by Spark."""
+
+    def numbers(chunk: pd.DataFrame) -> dict[str, float]:
+        hard = chunk["met"] > 100
+        return {"events": len(chunk), "hard": hard.sum(), "hard_jets": chunk["jets"][hard].sum()}
+
     rows = inputs.events.select(
         "dataset", F.col("MET.pt").alias("met"), F.col("nJet").alias("jets")
     )
-    return accumulate(rows, "dataset", ("events", "hard", "hard_jets"), _met_numbers)
+    return accumulate(rows, "dataset", ("events", "hard", "hard_jets"), numbers)
 
 
 def closest(masses: Column, target: float) -> Column:
@@ -283,7 +283,7 @@ def compiled_udf(inputs: Inputs) -> DataFrame:
     muons = inputs.events.select(
         "event_id", "MET", F.posexplode("Muon").alias("pos", "m")
     )
-    mt = transverse_mass_numpy(
+    mt = transverse_mass_numpy()(
         F.col("MET.pt"), F.col("MET.phi"), F.col("m.pt"), F.col("m.phi")
     )
     return muons.select("event_id", "pos", mt.alias("mt"))

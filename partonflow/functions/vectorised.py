@@ -1,17 +1,28 @@
-"""Escape hatch: plain numeric Python over Arrow batches."""
+"""Escape hatch: plain numeric Python over Arrow batches.
+
+The functions are defined inside their factories, so they travel to the workers
+by value and need no copy of this package there.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.DoubleType())
-def transverse_mass_numpy(
-    pt_a: pd.Series, phi_a: pd.Series, pt_b: pd.Series, phi_b: pd.Series
-) -> pd.Series:
-    """Transverse mass written with numpy, for code that has no Column form."""
-    d_phi = np.mod(phi_a - phi_b + np.pi, 2.0 * np.pi) - np.pi
-    return np.sqrt(2.0 * pt_a * pt_b * (1.0 - np.cos(d_phi))).round(6)
+def transverse_mass_numpy() -> Callable[..., Column]:
+    """Transverse mass of (pt, phi, pt, phi) in numpy, for code that has no Column form."""
+
+    @F.pandas_udf(T.DoubleType())
+    def transverse_mass(
+        pt_a: pd.Series, phi_a: pd.Series, pt_b: pd.Series, phi_b: pd.Series
+    ) -> pd.Series:
+        d_phi = np.mod(phi_a - phi_b + np.pi, 2.0 * np.pi) - np.pi
+        return np.sqrt(2.0 * pt_a * pt_b * (1.0 - np.cos(d_phi))).round(6)
+
+    return transverse_mass
