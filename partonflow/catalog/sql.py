@@ -1,7 +1,8 @@
 """Building blocks of the reference SQL.
 
 The SQL works on the flat object rows of each event with self-joins and window
-functions, never with lists, so it shares no logic with the Spark queries.
+functions, never with lists.  Only axis definitions and constants are shared with
+the Spark queries.
 """
 
 from __future__ import annotations
