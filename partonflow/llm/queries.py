@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partonflow.llm import bpe, langid, packing, toxicity
+from partonflow.llm import bpe, fingerprint, langid, packing, toxicity
 from partonflow.llm.common import crc_bucket
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
     scored = toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), lexicon).drop("text")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
