@@ -7,10 +7,10 @@ after the first round that leaves no bin empty, so a large set needs one or two
 rounds, a small one more, and every coordinate is filled with the concentration
 of as many independent hashes.
 
-Documents with the same set are one class with one representative.  Sketches are
-cut into bands; representatives that agree in a band are candidates.  With 24
-bands of 5 coordinates a pair at similarity 0.85 is missed with a chance below
-1e-6.  In a bucket members are compared with few hubs at a time, and what is
+Documents with the same set are one class.  Sketches are cut into 40 bands of 6
+coordinates; classes that agree in a band meet in its bucket, and those that
+agree in two are compared.  A pair at similarity 0.85 is missed with a chance of
+2e-7, one at 0.8 of 8e-5.  In a bucket members are compared with few hubs at a time, and what is
 linked already is not compared again, so a large group of near copies costs its
 size times a few rounds.  Rounds go on, with more hubs each, until no bucket
 holds members of two components that have not been compared; no candidate is
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from partonflow.llm.common import ascii_words, mix64, stored
 from partonflow.llm.components import components
 
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
 
 
@@ -86,107 +86,103 @@ def band_keys(values: np.ndarray) -> list[int]:
 
 
 def shingled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands): a 128-bit digest of each set and its band keys."""
+    """(doc_id, n_shingles, cls, bands): a 64-bit digest of each set and its band keys; NULL for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, digest, bands = [], [], []
+            size, cls, bands = [], [], []
             for value in batch.column(1):
                 hashes = shingle_hashes(value.as_py(), width)
                 size.append(len(hashes))
-                digest.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
+                cls.append(_digest(hashes) if len(hashes) else None)
                 bands.append(band_keys(sketch(hashes)) if len(hashes) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "bands"],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "cls", "bands"],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id bigint, n_shingles bigint, cls bigint, bands array<bigint>")
+
+
+def _digest(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).astype(np.int64))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row; linked if 100 * intersection >= percent * union."""
     sets = stored(shingled(docs, doc_id, text, width), "shingled")
-    classes = sets.filter("digest IS NOT NULL").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    # One id may stand for rows with other sets; classes that share an id are linked through it.
-    classes = stored(classes.filter("rep IS NOT NULL"), "classes")
-    bands = sets.filter("digest IS NOT NULL").select("digest", "n_shingles", "doc_id", "bands").join(
-        classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]
-    )
-    members = bands.select(F.posexplode("bands").alias("band", "key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "digest").distinct()
-    sizes = members.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = stored(members.join(sizes, ["band", "key"]).select("band", "key", "rep", "n", "digest"), "buckets")
-
-    near = members.select(F.col("rep").alias("doc_id"), "digest").distinct()
-    full = stored(_sets(docs, near, doc_id, text, width), "sets")
-    links = sets.join(classes, ["digest", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = stored(links.filter("a IS NOT NULL AND a != b"), "links")
+    some = sets.filter("cls IS NOT NULL AND doc_id IS NOT NULL")
+    classes = some.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    signed = some.join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"]).dropDuplicates(["cls"]).select("cls", F.col("n_shingles").alias("n"), "bands")
+
+    everywhere = signed.select(F.explode("bands").alias("key"), "cls", "n")
+    shared = everywhere.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    members = stored(everywhere.join(shared, "key"), "buckets")
+    near = members.select("cls").distinct()
+    signed = stored(signed.join(near, "cls"), "signed").select("cls", "bands")
+    full = stored(_sets(docs, some.select("doc_id", "cls").join(near, "cls"), doc_id, text, width), "sets")
+
+    # Sets of rows that share an id belong together.
+    first = some.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a != z").select("doc_id", "a")
+    links = some.join(first, "doc_id").select("a", F.col("cls").alias("b")).filter("a != b").distinct()
     found = components(links)
-    done = None
-    hubs = 1
+    done, hubs = None, 1
     while True:
-        label = found.select(F.col("id").alias("rep"), "component")
-        open_members = members.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        state = open_members.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-        open_members = stored(open_members.join(state.select("band", "key"), ["band", "key"]), "open")
-        # Hubs are the first members, in another order each round, of the components a bucket still holds apart.
-        counts = open_members.groupBy("band", "key", "component").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
-        order = F.struct(F.col("c"), F.col("component"))
-        largest = counts.groupBy("band", "key").agg(F.max(order).alias("top"))
+        label = found.select(F.col("id").alias("cls"), "component")
+        labelled = members.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+        labelled = stored(labelled.join(apart, "key"), "open")
         if hubs == 1:
-            chosen = counts.groupBy("band", "key").agg(F.min("rep").alias("hub"))
+            chosen = labelled.groupBy("key").agg(F.min("cls").alias("hub"))
         else:
-            loose = open_members.join(largest, ["band", "key"]).filter(F.col("component") != F.col("top.component"))
-            if done is not None:
-                loose = loose.join(done.withColumnRenamed("hub", "rep"), ["band", "key", "rep"], "left_anti")
-            # Which of the loose members come first is decided by hash, with a share that doubles the hubs each round.
-            rank = F.pmod(F.xxhash64("rep"), F.lit(1 << 20))
-            width_of = loose.groupBy("band", "key").agg(F.count("*").alias("loose"))
-            loose = loose.join(width_of, ["band", "key"])
-            chosen = loose.filter(rank * F.col("loose") < F.lit(hubs << 20)).select("band", "key", F.col("rep").alias("hub"))
-            if chosen.limit(1).count() == 0:
-                if loose.limit(1).count() == 0:
-                    break
-                hubs *= 4
-                continue
+            # The members outside the largest component of a bucket that have not been hubs yet; more of them each round.
+            counts = labelled.groupBy("key", "component").agg(F.count("*").alias("c"))
+            largest = counts.groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("largest"))
+            loose = labelled.join(largest, "key").filter("component != largest").select("key", "cls")
+            loose = stored(loose.join(done.withColumnRenamed("hub", "cls"), ["key", "cls"], "left_anti"), "loose")
+            number = loose.groupBy("key").agg(F.count("*").alias("number"))
+            place = F.pmod(F.xxhash64("cls"), F.lit(1 << 20))
+            chosen = loose.join(number, "key").filter(place * F.col("number") < F.lit(hubs << 20)).select("key", F.col("cls").alias("hub"))
         chosen = stored(chosen, "hubs")
+        if not chosen.limit(1).count():
+            if hubs == 1 or not loose.limit(1).count():
+                break
+            hubs *= 4
+            continue
         done = chosen if done is None else stored(done.union(chosen), "done")
-        hub = members.select("band", "key", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("digest").alias("hub_digest"))
-        hub = chosen.join(hub, ["band", "key", "hub"]).join(
-            open_members.select("band", "key", F.col("rep").alias("hub"), F.col("component").alias("hub_component")), ["band", "key", "hub"]
-        )
-        pairs = open_members.join(hub, ["band", "key"]).filter("component != hub_component")
+        hub = chosen.join(labelled.select("key", F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component")), ["key", "hub"])
+        pairs = labelled.join(hub, "key").filter("component != hub_component")
         fits = (F.col("n") * 100 >= F.col("hub_n") * percent) & (F.col("hub_n") * 100 >= F.col("n") * percent)
-        pairs = pairs.filter(fits).select("rep", "digest", "hub", "hub_digest", F.least("rep", "hub").alias("lo"), F.greatest("rep", "hub").alias("hi"))
-        pairs = pairs.dropDuplicates(["lo", "hi", "digest", "hub_digest"])
-        linked = stored(_verified(pairs, full, percent), "links")
+        pairs = pairs.filter(fits).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+        linked = stored(_verified(pairs, signed, full, percent), "links")
         if linked.limit(1).count():
-            links = links.union(linked)
             found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(linked))
         hubs = hubs * 4 if hubs > 1 else 2
-    labels = found.select(F.col("id").alias("doc_id"), "component")
-    out = sets.select("doc_id", "n_shingles").join(labels, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # A component goes by the smallest id of its classes.
+    label = classes.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
+    smallest = label.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_class = label.join(smallest, "component").select("cls", "component_id")
+    out = sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls")).join(by_class, "cls", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _sets(docs: DataFrame, near: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(rep, digest, hashes) of the documents that have a candidate."""
+    """(cls, hashes) of the classes that have a candidate, from one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingle_hashes(t.as_py(), width) for t in batch.column(1)]
-            digest = [xxhash.xxh3_128_digest(h.tobytes()) for h in made]
+            made = [shingle_hashes(t.as_py(), width) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digest, pa.binary()), pa.array([h.tobytes() for h in made], pa.binary())], names=["rep", "digest", "hashes"]
+                [pa.array([_digest(h) for h in made], pa.int64()), pa.array([h.tobytes() for h in made], pa.binary())], names=["cls", "hashes"]
             )
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
-    texts = texts.join(near.select(F.col("doc_id").alias("rep")).distinct(), "rep", "left_semi")
-    return texts.mapInArrow(run, "rep bigint, digest binary, hashes binary").dropDuplicates(["rep", "digest"])
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    one = near.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    return texts.join(one, "doc_id", "left_semi").select("text").mapInArrow(run, "cls bigint, hashes binary").dropDuplicates(["cls"])
 
 
-def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose full sets reach the similarity."""
+def _verified(pairs: DataFrame, signed: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs that agree in two bands and whose full sets reach the similarity."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -197,7 +193,9 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.loc[keep, ["a", "b"]]
 
-    left = full.select("rep", "digest", F.col("hashes").alias("x"))
-    right = full.select(F.col("rep").alias("hub"), F.col("digest").alias("hub_digest"), F.col("hashes").alias("y"))
-    joined = pairs.join(left, ["rep", "digest"]).join(right, ["hub", "hub_digest"])
-    return joined.select(F.col("rep").alias("a"), F.col("hub").alias("b"), "x", "y").mapInPandas(run, "a bigint, b bigint")
+    for name in ("a", "b"):
+        pairs = pairs.join(signed.select(F.col("cls").alias(name), F.col("bands").alias(f"{name}_bands")), name)
+    pairs = pairs.filter(F.size(F.array_intersect("a_bands", "b_bands")) >= 2).select("a", "b")
+    for name, column in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(full.select(F.col("cls").alias(name), F.col("hashes").alias(column)), name)
+    return pairs.select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint")
