@@ -38,6 +38,8 @@ from partonflow.llm.components import components
 
 BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
+#: Rounds in which each member meets one hub, before the rounds that compare all that is still apart.
+NARROW = 3
 
 
 def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
@@ -126,7 +128,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = some.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a != z").select("doc_id", "a")
     links = some.join(first, "doc_id").select("a", F.col("cls").alias("b")).filter("a != b").distinct()
     found = components(links)
-    done, hubs = None, 1
+    done, hubs, narrow, tested = None, 1, NARROW, None
     while True:
         label = found.select(F.col("id").alias("cls"), "component")
         labelled = members.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -144,6 +146,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             place = F.pmod(F.xxhash64("cls"), F.lit(1 << 20))
             chosen = loose.join(number, "key").filter(place * F.col("number") < F.lit(hubs << 20)).select("key", F.col("cls").alias("hub"))
         chosen = stored(chosen, "hubs")
+        if narrow and chosen.limit(1).count():
+            # First each member meets one hub only, the one of most of its buckets: large groups grow together
+            # for as many comparisons as they have members, and few buckets stay apart.
+            hub = chosen.join(labelled.select("key", F.col("cls").alias("hub"), F.col("component").alias("hub_component")), ["key", "hub"])
+            meets = labelled.join(hub, "key").filter("component != hub_component").groupBy("cls", "hub").agg(F.count("*").alias("c"))
+            if tested is not None:
+                meets = meets.join(tested, ["cls", "hub"], "left_anti")
+            meets = stored(meets.groupBy("cls").agg(F.max(F.struct("c", "hub"))["hub"].alias("hub")), "meets")
+            tested = meets if tested is None else stored(tested.union(meets), "tested")
+            linked = stored(_verified(meets.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), signed, full, percent), "links")
+            narrow -= 1
+            if linked.limit(1).count():
+                found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(linked))
+            else:
+                narrow = 0
+            continue
         if not chosen.limit(1).count():
             if hubs == 1 or not loose.limit(1).count():
                 break
