@@ -306,5 +306,7 @@ PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
     ),
 )
 def overlay_pivot(inputs: Inputs) -> DataFrame:
-    """One series per dataset."""
-    return hist.overlaid(hist.visible(MET.histogram(inputs.events), MET_AXES), PRIORITIES)
+    """One series per dataset, whichever there are."""
+    shown = hist.visible(MET.histogram(inputs.events), MET_AXES)
+    labels = sorted(r[0] for r in inputs.events.select("dataset").distinct().collect() if r[0] is not None)
+    return hist.overlaid(shown, labels)

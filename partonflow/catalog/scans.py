@@ -21,11 +21,10 @@ from partonflow.sources.fileset import (
 )
 from partonflow.sources.scratch import scratch_path
 
-# Which directories make up which dataset.
-TWO_DATASETS = {
-    "tHq": ("1-URGENT", "2-HIGH"),
-    "tHW": ("3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"),
-}
+# The directories of the first dataset; all others make up the second.
+FIRST_DATASET = ("1-URGENT", "2-HIGH")
+#: Directory of the events without a label.
+NO_LABEL = "__HIVE_DEFAULT_PARTITION__"
 TWO_SQL = (
     "SELECT CASE WHEN dataset IN ('1-URGENT', '2-HIGH') THEN 'tHq' ELSE 'tHW' END AS dataset, "
     "event_id, met_pt FROM ev"
@@ -34,10 +33,11 @@ TWO_SQL = (
 
 def two_datasets(inputs: Inputs) -> DataFrame:
     """All events as two datasets of several directories each."""
-    fileset = {
-        name: [f"{inputs.location}/Events/dataset={part}" for part in parts]
-        for name, parts in TWO_DATASETS.items()
-    }
+    fileset: dict[str, list[str]] = {}
+    # One row per directory of the tree.
+    for (label,) in sorted(inputs.events.select("dataset").distinct().collect(), key=str):
+        name = "tHq" if label in FIRST_DATASET else "tHW"
+        fileset.setdefault(name, []).append(f"{inputs.location}/Events/dataset={label or NO_LABEL}")
     return read_fileset(inputs.spark, fileset)
 
 

@@ -15,6 +15,7 @@ from partonflow.operators.hist import Axis
 PI = repr(math.pi)
 TWO_PI = repr(2.0 * math.pi)
 
+# The sample names, as a list that SQL reads.
 SAMPLE_NAMES = (
     "['tHq','tHW','ttW','ttWJets','ttZ','ttZJets','ttH','WZ','ZZ',"
     "'ZZZ','WWZ','WZZ','tttt','WpWp','WGToLNuG','TGJets','TTGJets']"

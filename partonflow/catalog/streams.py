@@ -16,12 +16,14 @@ from partonflow.sources.scratch import scratch_path
 from partonflow.streaming.running import event_stream, final_histogram
 
 
+#: Files of one batch.  A batch should be some minutes of work of the cluster.
+FILES_PER_BATCH = 16
+
+
 def _drain(inputs: Inputs, analysis: Analysis, name: str, label: dict | None = None) -> DataFrame:
     work = scratch_path(inputs.spark, f"streams/{name}-{time.time_ns()}")
     tree = f"{inputs.location}/Events"
-    # About four batches, whatever the number of files.
-    files = len(inputs.events.inputFiles())
-    stream = event_stream(inputs.spark, tree, inputs.events.schema, max(1, -(-files // 4)))
+    stream = event_stream(inputs.spark, tree, inputs.events.schema, FILES_PER_BATCH)
     if label:
         stream = stream.withColumns(label)
     return final_histogram(inputs.spark, stream, analysis, f"{work}/total", f"{work}/state")

@@ -75,8 +75,9 @@ def largest(values: Column) -> Column:
 
 
 def argmin(items: Column, key: Element) -> Column:
-    """Position of the smallest key, NULL for an empty list."""
-    return F.array_min(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))["i"]
+    """Position of the smallest key, NULL if there is none; NULL keys do not compete."""
+    ranked = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))
+    return F.array_min(F.filter(ranked, lambda r: r["k"].isNotNull()))["i"]
 
 
 def argmax(items: Column, key: Element) -> Column:
@@ -87,10 +88,9 @@ def argmax(items: Column, key: Element) -> Column:
 
 
 def at_min(items: Column, key: Element, take: Element = lambda x: x) -> Column:
-    """``take`` of the element with the smallest key."""
-    return F.array_min(
-        F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), take(x).alias("x")))
-    )["x"]
+    """``take`` of the element with the smallest key; NULL keys do not compete."""
+    ranked = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), take(x).alias("x")))
+    return F.array_min(F.filter(ranked, lambda r: r["k"].isNotNull()))["x"]
 
 
 def at_max(items: Column, key: Element, take: Element = lambda x: x) -> Column:

@@ -15,7 +15,7 @@ def accumulate(df: DataFrame, by: str, fields: tuple[str, ...], update: Update)
     """Sum over all chunks of what ``update`` returns for each chunk, per value of ``by``.
 
     ``update`` sees one Arrow batch of one category at a time and returns the
-    named numbers it adds.  Batches become one partial row each; the merge is
+    named numbers it adds; NULL is a category like any other.  Batches become one partial row each; the merge is
     Spark's own sum, so no category is ever gathered in one place.
     """
     schema = ", ".join([f"`{by}` string", *[f"`{f}` double" for f in fields]])
@@ -23,9 +23,9 @@ def accumulate(df: DataFrame, by: str, fields: tuple[str, ...], update: Update)
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, chunk in batch.groupby(by):
+            for key, chunk in batch.groupby(by, dropna=False):
                 added = update(chunk)
-                rows.append([key, *[float(added.get(f, 0.0)) for f in fields]])
+                rows.append([None if pd.isna(key) else key, *[float(added.get(f, 0.0)) for f in fields]])
             yield pd.DataFrame(rows, columns=[by, *fields])
 
     return (

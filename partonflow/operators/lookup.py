@@ -20,10 +20,17 @@ def efficiency(passed: DataFrame, everything: DataFrame) -> DataFrame:
 def with_factor(df: DataFrame, axis: Axis, table: DataFrame, default: float = 1.0) -> DataFrame:
     """Add the ``factor`` of the bin that the column named like the axis falls in.
 
-    The table is keyed by bin number, so the range lookup is a hash join.  It
-    has at most ``axis.bins + 2`` rows, whatever the size of the data, which is
-    what makes the broadcast safe.
+    The table is keyed by bin number, so the range lookup is an equi-join.  Rows
+    outside the axis and its flow bins are left out, which bounds the table by
+    ``axis.bins + 2`` rows; a bin with two rows is an error, because it would
+    repeat the data.
     """
+    twice = F.raise_error(F.lit("two factors for one bin")).cast("double")
+    table = (
+        table.filter(F.col("bin").between(-1, axis.bins))
+        .groupBy("bin")
+        .agg(F.when(F.count(F.lit(1)) == 1, F.max("factor")).otherwise(twice).alias("factor"))
+    )
     keyed = df.withColumn("bin", axis.index(axis.name))
-    joined = keyed.join(F.broadcast(table), "bin", "left")
+    joined = keyed.join(table, "bin", "left")
     return joined.withColumn("factor", F.coalesce(F.col("factor"), F.lit(default))).drop("bin")

@@ -81,15 +81,20 @@ def list_collections(columns: list[str]) -> list[str]:
 def zip_collections(flat: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Branches zipped into one list of structs per collection.
 
-    Lists of one collection must be equally long; :func:`count_mismatches`
-    reports events where they are not.
+    Lists of one collection must be equally long: an event where they are not
+    is an error.  :func:`count_mismatches` reports such events.
     """
     names = flat.columns
     out: list[Column] = [F.col(k) for k in keep]
     for collection in list_collections(names):
         fields = _members(names, collection)
         zipped = F.arrays_zip(*[F.col(c).alias(f) for f, c in fields.items()])
-        out.append(zipped.alias(collection))
+        first, *others = fields.values()
+        equal = F.lit(True)
+        for column in others:
+            equal = equal & F.size(column).eqNullSafe(F.size(first))
+        unequal = F.raise_error(F.lit(f"branches of {collection} differ in length"))
+        out.append(F.when(equal, zipped).otherwise(unequal).alias(collection))
     for record in SINGLE_RECORDS:
         fields = _members(names, record)
         if fields:

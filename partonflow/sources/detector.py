@@ -16,6 +16,7 @@ nested Parquet in one directory per dataset, and the queries scan that.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from pathlib import Path
 from threading import Lock
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from partonflow.sources.fileset import Reads, read_paths
-from partonflow.sources.scratch import scratch_path
+from partonflow.sources.scratch import scratch_root
 
 KINDS = {"Jet": 0, "Muon": 1, "Electron": 2}
 TOWERS = 8
@@ -205,15 +206,48 @@ def event_location(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, _fingerprint(spark, inputs))
     with _writing:
         if key not in _written:
-            location = scratch_path(spark, f"events-{key[1]}")
-            orders, lineitem = (spark.read.parquet(p) for p in inputs)
-            assemble(orders, lineitem).write.mode("overwrite").partitionBy("dataset").parquet(
-                f"{location}/Events"
-            )
-            _written[key] = location
+            _written[key] = _published(spark, f"{scratch_root(spark)}/events-{key[1]}", inputs)
         return _written[key]
 
 
+def _published(spark: SparkSession, folder: str, inputs: list[str]) -> str:
+    """Location of the tree under ``folder`` that any application has published, or a new one.
+
+    A tree is written under a name of its own and then entered in a small table;
+    an unfinished one is in nobody's way.
+    """
+
+    def entered() -> str | None:
+        try:
+            names = spark.read.parquet(f"{folder}/published")
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
+        return names.agg(F.min("name")).first()[0]
+
+    name = entered()
+    if name is None or not _readable(spark, f"{folder}/{name}/Events"):
+        name = uuid.uuid4().hex
+        orders, lineitem = (spark.read.parquet(p) for p in inputs)
+        # Few files for each dataset; a large dataset is split.
+        tree = assemble(orders, lineitem).hint("rebalance", "dataset")
+        tree.write.partitionBy("dataset").parquet(f"{folder}/{name}/Events")
+        entry = spark.range(1).select(F.lit(name).alias("name"))
+        entry.write.mode("overwrite").parquet(f"{folder}/published")
+    return f"{folder}/{name}"
+
+
+def _readable(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
+    return True
+
+
 def _forget(location: str) -> None:
     for key in [k for k, v in _written.items() if v == location]:
         del _written[key]

@@ -9,6 +9,7 @@ per dataset.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -30,18 +31,18 @@ def start_running_histogram(
 ) -> StreamingQuery:
     """Keep ``out`` at the histogram of everything seen so far.
 
-    Every batch replaces the table by the new total, which is at most
-    ``categories x bins`` rows.  Replacing makes a repeated batch after a
-    failure harmless.
+    Every batch writes the new total, at most ``categories x bins`` rows, to
+    ``out/batch=<id>``.  A total that is being written hides no earlier one, and
+    a batch that is repeated after a failure replaces only its own.
     """
 
-    def replace(total: DataFrame, _batch: int) -> None:
-        total.coalesce(1).write.mode("overwrite").parquet(out)
+    def publish(total: DataFrame, batch: int) -> None:
+        total.coalesce(1).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     writer = (
         analysis.histogram(stream)
         .writeStream.outputMode("complete")
-        .foreachBatch(replace)
+        .foreachBatch(publish)
         .option("checkpointLocation", checkpoint)
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -53,4 +54,11 @@ def final_histogram(
     """Drain the stream and return the last total."""
     run = start_running_histogram(stream, analysis, out, checkpoint)
     run.awaitTermination()
-    return spark.read.parquet(out)
+    return last_total(spark, out)
+
+
+def last_total(spark: SparkSession, out: str) -> DataFrame:
+    """The newest total under ``out`` that was written to its end."""
+    totals = spark.read.parquet(out)
+    newest = totals.agg(F.max("batch")).first()[0]
+    return totals.filter(F.col("batch").eqNullSafe(F.lit(newest))).drop("batch")

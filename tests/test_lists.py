@@ -98,3 +98,11 @@ def test_isolation_without_neighbours(spark, require, expected):
 def test_let_computes_once(spark):
     df = spark.range(1).select(lists.let(F.rand(), lambda r: r - r).alias("zero"))
     assert df.first()["zero"] == 0.0
+
+
+def test_null_keys_do_not_compete(spark):
+    df = spark.createDataFrame([([None, 3.0, 1.0],), ([None],), ([],)], "a array<double>")
+    out = df.select(
+        lists.argmin(F.col("a"), lambda x: x).alias("i"), lists.at_min(F.col("a"), lambda x: x).alias("x")
+    ).collect()
+    assert [tuple(r) for r in out] == [(2, 1.0), (None, None), (None, None)]
