@@ -10,8 +10,8 @@ of as many independent hashes.
 Documents with the same set are one class.  Sketches are cut into 40 bands of 6
 coordinates; classes that agree in a band meet in its bucket, and those that
 agree in two are compared.  A pair at similarity 0.85 is missed with a chance of
-2e-7, one at 0.8 of 8e-5.  In a bucket members are compared with few hubs at a time, and what is
-linked already is not compared again, so a large group of near copies costs its
+2e-7, one at 0.8 of 8e-5.  In a bucket members are compared with few hubs at a time, first with the class that
+meets most others, and what is linked already is not compared again, so a large group of near copies costs its
 size times a few rounds.  Rounds go on, with more hubs each, until no bucket
 holds members of two components that have not been compared; no candidate is
 dropped.  A pair is linked only after its full sets have been compared.
@@ -118,8 +118,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = some.join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"]).dropDuplicates(["cls"]).select("cls", F.col("n_shingles").alias("n"), "bands")
 
     everywhere = signed.select(F.explode("bands").alias("key"), "cls", "n")
-    shared = everywhere.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    members = stored(everywhere.join(shared, "key"), "buckets")
+    shared = everywhere.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    met = stored(everywhere.join(shared, "key"), "met")
+    # How many others a class meets: the largest in a group of near copies is the one that most of them resemble.
+    members = stored(met.drop("size").join(met.groupBy("cls").agg(F.sum("size").alias("weight")), "cls"), "buckets")
     near = members.select("cls").distinct()
     signed = stored(signed.join(near, "cls"), "signed").select("cls", "bands")
     full = stored(_sets(docs, some.select("doc_id", "cls").join(near, "cls"), doc_id, text, width), "sets")
@@ -135,7 +137,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
         labelled = stored(labelled.join(apart, "key"), "open")
         if hubs == 1:
-            chosen = labelled.groupBy("key").agg(F.min("cls").alias("hub"))
+            chosen = labelled.groupBy("key").agg(F.max(F.struct("weight", "cls"))["cls"].alias("hub"))
         else:
             # The members outside the largest component of a bucket that have not been hubs yet; more of them each round.
             counts = labelled.groupBy("key", "component").agg(F.count("*").alias("c"))
@@ -155,7 +157,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 meets = meets.join(tested, ["cls", "hub"], "left_anti")
             meets = stored(meets.groupBy("cls").agg(F.max(F.struct("c", "hub"))["hub"].alias("hub")), "meets")
             tested = meets if tested is None else stored(tested.union(meets), "tested")
-            linked = stored(_verified(meets.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), signed, full, percent), "links")
+            linked = stored(_verified(meets.select(F.col("hub").alias("a"), F.col("cls").alias("b")), signed, full, percent), "links")
             narrow -= 1
             if linked.limit(1).count():
                 found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(linked))
@@ -213,7 +215,10 @@ def _verified(pairs: DataFrame, signed: DataFrame, full: DataFrame, percent: int
 
     for name in ("a", "b"):
         pairs = pairs.join(signed.select(F.col("cls").alias(name), F.col("bands").alias(f"{name}_bands")), name)
-    pairs = pairs.filter(F.size(F.array_intersect("a_bands", "b_bands")) >= 2).select("a", "b")
+    pairs = stored(pairs.filter(F.size(F.array_intersect("a_bands", "b_bands")) >= 2).select("a", "b"), "pairs")
+    # Only the sets in use move; a short list of them is broadcast, as its stored size tells.
+    used = stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "used")
+    full = full.join(used, "cls", "left_semi")
     for name, column in (("a", "x"), ("b", "y")):
         pairs = pairs.join(full.select(F.col("cls").alias(name), F.col("hashes").alias(column)), name)
     return pairs.select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint")
