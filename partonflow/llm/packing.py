@@ -270,7 +270,8 @@ def pack(
         for number in range(epochs):
             state = state.groupBy("block", "island").applyInPandas(epoch(number), state_schema)
         placed = stored(state.groupBy("block").applyInPandas(best, placed_schema), "packing")
-        number = F.lit(level << 48) + F.col("block") * F.lit(block) + F.col("bin")
+        # Fields of their own: a block dealt by hash may have more than ``block`` rows, and so as many bins.
+        number = F.lit(level << 56) + F.shiftleft("block", 28) + F.col("bin")
         placed = placed.withColumn("sequence_id", number)
         # Lengths that never fill a sequence would come back whole at each level.
         if blocks == 1 or (before is not None and 2 * count > before):

@@ -81,6 +81,13 @@ def test_packing_in_blocks_and_levels(spark):
     assert packing.pack(same, capacity=100, block=64).select("sequence_id").distinct().count() == 300
 
 
+def test_packing_of_single_pieces_over_many_blocks(spark):
+    # Every piece fills a bin of its own, and many blocks get more than ``block`` pieces.
+    items = spark.range(5000).select(F.col("id").alias("row"), F.lit(60).cast("long").alias("length"))
+    rows = packing.pack(items, capacity=100, block=64).toPandas()
+    assert len(rows) == rows["sequence_id"].nunique() == 5000 and (rows["offset"] == 0).all()
+
+
 def test_crossover_keeps_every_item():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 60, 80).tolist()
