@@ -11,8 +11,9 @@ audited against brute force for a bounded number of queries over all nodes, and
 the overlap grows until it reaches the target.
 
 Centroids are fitted on at most ``sample`` vectors; every vector is indexed and
-searched.  A shard above ``shard`` nodes is split and its nodes search all of
-its splits, so no task holds more than ``shard`` nodes and no neighbour is lost.
+searched.  A shard above ``shard`` nodes is split by hash and each split searches
+all splits of its shard, one at a time, so that a task holds two splits (about
+2 x ``shard`` nodes) and no neighbour is lost.
 A pair that meets in several shards counts in the first of them only.
 
 Contract: vectors that are NULL, zero, or hold NULL or non-finite components are
@@ -162,8 +163,12 @@ def _search(assigned: DataFrame, threshold: float, shard: int) -> DataFrame:
     lists = placed.groupBy("shard", "split").applyInPandas(build, "rep bigint, out array<bigint>")
     united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("out"))).alias("out"))
     home = placed.join(united, "rep", "left")
-    # A node is a member of its own split and a query to all splits of the shard.
-    everywhere = home.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+    # Each split of a shard is a block of queries to each of its splits, whose members come to each block.
+    every, own = F.sequence(F.lit(0), F.col("splits") - 1), F.col("split")
+    asks = F.transform(every, lambda x: F.struct(x.alias("at"), own.alias("block")))
+    holds = F.transform(F.filter(every, lambda x: x != own), lambda x: F.struct(own.alias("at"), x.alias("block")))
+    everywhere = home.withColumn("role", F.explode(F.concat(asks, holds))).select("*", "role.at", "role.block").drop("role")
+    everywhere = everywhere.withColumn("out", F.when(F.col("at") == own, F.col("out")))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
@@ -177,6 +182,9 @@ def _search(assigned: DataFrame, threshold: float, shard: int) -> DataFrame:
         graph = [[place[int(x)] for x in (out if out is not None else ()) if int(x) in place] for out in member["out"]]
         shards = [set(x) for x in member["shards"]]
         entry = int(np.argmax(unit @ unit.mean(0)))
+        pdf = pdf[pdf["split"] == pdf["block"]]
+        if not len(pdf):
+            return pd.DataFrame({"rep": [], "links": [], "other": []})
         queries = _unit(_matrix(pdf["v"]))
         root: dict[int, int] = {}
 
@@ -206,7 +214,7 @@ def _search(assigned: DataFrame, threshold: float, shard: int) -> DataFrame:
         edges = [(x, 0, find(x)) for x in root if find(x) != x]
         return pd.DataFrame(out + edges, columns=["rep", "links", "other"]).astype({"other": "Int64"})
 
-    return stored(everywhere.groupBy("shard", "at").applyInPandas(search, "rep bigint, links bigint, other bigint"), "found")
+    return stored(everywhere.groupBy("shard", "at", "block").applyInPandas(search, "rep bigint, links bigint, other bigint"), "found")
 
 
 def recall(found: DataFrame, result: DataFrame, threshold: float, queries: int = 256) -> float:

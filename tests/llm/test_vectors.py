@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql.group import GroupedData
 
 from partonflow.llm import vector_graph
 from partonflow.llm.components import components
@@ -24,6 +25,26 @@ def test_links_equal_brute_force(spark):
     assert all(by_id[k]["n_links"] == 0 and by_id[k]["component_id"] == k for k in range(900, 905))
 
 
+def test_no_group_holds_a_whole_shard(spark, monkeypatch):
+    apply = GroupedData.applyInPandas
+
+    def bounded(fn):
+        def run(pdf):
+            assert "v" not in pdf or len(pdf) <= 2 * 75, f"{len(pdf)} rows in one group"
+            return fn(pdf)
+
+        return run
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, fn, schema: apply(self, bounded(fn), schema))
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(150, 16))
+    rows = np.concatenate([rows, rows + rng.normal(size=rows.shape) * 0.05])
+    table = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in vector_graph.near_duplicates(table, shard=50, sample=40).collect()}
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    assert got == dict(enumerate(((unit @ unit.T >= 0.95).sum(1) - 1).tolist()))
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(50, 51)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(links).collect()}
