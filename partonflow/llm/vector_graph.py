@@ -7,14 +7,16 @@ is closer to it, by a factor, than the node itself), and the adjacency lists of
 a node from all its shards are united.  In each shard every node then runs a
 greedy search from the medoid and, once it is near, expands through all nodes in
 range; what it meets is verified by cosine in double precision.  Recall is
-audited against brute force for a bounded number of queries over all nodes, and
-the overlap grows until it reaches the target.
+audited against brute force over all nodes, as the mean over nodes with true
+links, and the overlap grows until it reaches the target.  The queries grow in
+number until enough of them have true links; if too few have, slightly disturbed
+copies of stored vectors are indexed with the nodes and judged as well.
 
 Centroids are fitted on at most ``sample`` vectors; every vector is indexed and
 searched.  A shard above ``shard`` nodes is split by hash and each split searches
 all splits of its shard, one at a time, so that a task holds two splits (about
 2 x ``shard`` nodes) and no neighbour is lost.
-A pair that meets in several shards counts in the first of them only.
+A pair that meets in several shards counts once, whichever of them finds it.
 
 Contract: vectors that are NULL, zero, or hold NULL or non-finite components are
 linked with nothing; so are rows without an id.  Vectors of different length are
@@ -23,7 +25,7 @@ not compared.  Rows that repeat an id are one vector if they are equal.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -148,7 +150,11 @@ def range_search(query: np.ndarray, unit: np.ndarray, graph: list[list[int]], en
 
 
 def _search(assigned: DataFrame, threshold: float, shard: int) -> DataFrame:
-    """(rep, links, other): linked vectors of other nodes, and links that connect what a task has found."""
+    """(rep, links, others, heavy, other): what a task has found of a node, and links that connect what a task has found.
+
+    ``links`` counts the vectors of nodes that only this shard can find.  ``others`` are nodes that share further
+    shards with it, ``heavy`` those of them with several vectors, as "node vectors".
+    """
     spread = assigned.select("rep", "size", "v", "shards", F.explode("shards").alias("shard"))
     splits = spread.groupBy("shard").agg(F.ceil(F.count("*") / shard).cast("int").alias("splits"))
     placed = spread.join(splits, "shard").withColumn("split", F.pmod(F.xxhash64("rep"), F.col("splits")).cast("int"))
@@ -170,12 +176,13 @@ def _search(assigned: DataFrame, threshold: float, shard: int) -> DataFrame:
     everywhere = home.withColumn("role", F.explode(F.concat(asks, holds))).select("*", "role.at", "role.block").drop("role")
     everywhere = everywhere.withColumn("out", F.when(F.col("at") == own, F.col("out")))
 
+    names = ["rep", "links", "others", "heavy", "other"]
+
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
         member = pdf[pdf["split"] == pdf["at"]]
-        shard_id = int(pdf["shard"].iloc[0])
         if not len(member):
-            return pd.DataFrame({"rep": [], "links": [], "other": []})
+            return pd.DataFrame(columns=names, dtype=object)
         reps, sizes = member["rep"].to_numpy(), member["size"].to_numpy()
         place = {r: k for k, r in enumerate(reps.tolist())}
         unit = _unit(_matrix(member["v"]))
@@ -184,7 +191,7 @@ def _search(assigned: DataFrame, threshold: float, shard: int) -> DataFrame:
         entry = int(np.argmax(unit @ unit.mean(0)))
         pdf = pdf[pdf["split"] == pdf["block"]]
         if not len(pdf):
-            return pd.DataFrame({"rep": [], "links": [], "other": []})
+            return pd.DataFrame(columns=names, dtype=object)
         queries = _unit(_matrix(pdf["v"]))
         root: dict[int, int] = {}
 
@@ -201,60 +208,138 @@ def _search(assigned: DataFrame, threshold: float, shard: int) -> DataFrame:
             if start != entry:
                 # A member also starts from itself, so that a poorly connected entry does not hide its surroundings.
                 hits.update(range_search(queries[row], unit, graph, start, threshold))
-            total = 0
+            total, others, heavy = 0, [], []
             for k in hits:
                 other = int(reps[k])
                 if other != rep:
                     a, b = find(rep), find(other)
                     root[max(a, b)] = min(a, b)
-                    if min(shards[k].intersection(own)) == shard_id:
+                    if len(shards[k].intersection(own)) == 1:
                         total += int(sizes[k])
-            if total:
-                out.append((rep, total, None))
-        edges = [(x, 0, find(x)) for x in root if find(x) != x]
-        return pd.DataFrame(out + edges, columns=["rep", "links", "other"]).astype({"other": "Int64"})
-
-    return stored(everywhere.groupBy("shard", "at", "block").applyInPandas(search, "rep bigint, links bigint, other bigint"), "found")
+                    else:
+                        others.append(other)
+                        if sizes[k] > 1:
+                            heavy.append(f"{other} {sizes[k]}")
+            if total or others:
+                out.append((rep, total, sorted(others), heavy, None))
+        edges = [(x, 0, [], [], find(x)) for x in root if find(x) != x]
+        return pd.DataFrame(out + edges, columns=names).astype({"other": "Int64"})
+
+    schema = "rep bigint, links bigint, others array<bigint>, heavy array<string>, other bigint"
+    return stored(everywhere.groupBy("shard", "at", "block").applyInPandas(search, schema), "found")
+
+
+def _counted(result: DataFrame) -> DataFrame:
+    """(rep, links): the linked vectors of other nodes, each counted once over all shards."""
+    rows = result.filter("other IS NULL").groupBy("rep").agg(
+        F.sum("links").alias("links"),
+        F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"),
+        F.array_distinct(F.flatten(F.collect_list("heavy"))).alias("heavy"),
+    )
+    more = F.aggregate("heavy", F.lit(0).cast("long"), lambda a, x: a + F.split(x, " ")[1].cast("long") - 1)
+    return rows.select("rep", (F.col("links") + F.size("others") + more).alias("links"))
+
+
+def _some(found: DataFrame, total: int, queries: int) -> dict[int, np.ndarray]:
+    """About ``queries`` nodes by a hash of their id, each a part of any larger choice."""
+    place = F.pmod(F.xxhash64(F.lit("audit"), "rep"), F.lit(1 << 30))
+    chosen = found.filter(place < F.lit(int((1 << 30) * min(1.0, queries / max(1, total)))))
+    return {r["rep"]: np.asarray(r["v"]) for r in chosen.select("rep", "v").collect()}
 
 
-def recall(found: DataFrame, result: DataFrame, threshold: float, queries: int = 256) -> float:
-    """Share of the true links of about ``queries`` nodes that ``result`` counts."""
-    total = found.count()
-    place = F.pmod(F.xxhash64(F.lit("audit"), "rep"), F.lit(1 << 30))
-    chosen = found.filter(place < F.lit(int((1 << 30) * min(1.0, queries / max(1, total))))).select("rep", "v").limit(2 * queries)
-    asked = {r["rep"]: np.asarray(r["v"]) for r in chosen.collect()}
+def true_links(found: DataFrame, asked: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """(rep, real): the linked vectors of other nodes by brute force, of the nodes ``asked`` that have any."""
+    # As many vectors as the audit has queries, whatever the input.
     shared = found.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for size, part in batch.groupby(batch["v"].str.len()):
                 own = [(r, v) for r, v in shared.value.items() if len(v) == size]
-                if own:
-                    cosine = _unit(np.stack([v for _, v in own])) @ _unit(_matrix(part["v"])).T
-                    hit = (cosine >= threshold) & (np.array([r for r, _ in own])[:, None] != part["rep"].to_numpy()[None, :])
-                    yield pd.DataFrame({"rep": [r for r, _ in own], "links": hit @ part["size"].to_numpy()})
-
-    true = found.mapInPandas(run, "rep bigint, links bigint").groupBy("rep").agg(F.sum("links").alias("real")).filter("real > 0")
-    got = result.groupBy("rep").agg(F.sum("links").alias("got"))
-    row = true.join(got, "rep", "left").agg(F.sum("real"), F.sum(F.coalesce("got", F.lit(0)))).first()
-    return 1.0 if not row[0] else row[1] / row[0]
+                unit, reps, sizes = _unit(_matrix(part["v"])), part["rep"].to_numpy(), part["size"].to_numpy()
+                for at in range(0, len(own), 256):
+                    ids = np.array([r for r, _ in own[at : at + 256]])
+                    cosine = _unit(np.stack([v for _, v in own[at : at + 256]])) @ unit.T
+                    links = ((cosine >= threshold) & (ids[:, None] != reps[None, :])) @ sizes
+                    yield pd.DataFrame({"rep": ids[links > 0], "links": links[links > 0]})
+
+    return found.mapInPandas(run, "rep bigint, links bigint").groupBy("rep").agg(F.sum("links").alias("real"))
+
+
+def _judged(real: DataFrame, result: DataFrame) -> list[float]:
+    """The share of its true links that ``result`` counts, for each node of ``real``."""
+    rows = real.join(_counted(result), "rep", "left").select("real", F.coalesce("links", F.lit(0))).collect()
+    return [min(1.0, got / true) for true, got in rows]
+
+
+class Audit:
+    """Queries with their true links, found once, and the probes added where too few nodes have any."""
+
+    def __init__(self, found: DataFrame, count: int, threshold: float, queries: int, most: int, enough: int):
+        self.probes, self.whole = None, False
+        asked = min(queries, most)
+        while True:
+            some = _some(found, count, asked)
+            self.real = stored(true_links(found, some, threshold), "audit")
+            linked = self.real.count()
+            # All nodes asked is the whole truth, also without a link.
+            self.whole = asked >= count
+            if linked >= enough or self.whole:
+                return
+            if asked >= most:
+                break
+            asked = min(4 * asked, most)
+        low, high = found.agg(F.min("rep"), F.max("rep")).first()
+        rng = np.random.default_rng(11)
+        rows = []
+        for k, (_, v) in enumerate(sorted(_some(found, count, 4 * enough).items())):
+            v = _unit(v[None, :])[0]
+            if len(v) < 2:
+                continue
+            # Turned by an angle just inside the threshold, where a pair is the hardest to find.
+            away = rng.normal(size=len(v))
+            away = _unit((away - (away @ v) * v)[None, :])[0]
+            cosine = threshold + 0.05 * (1 - threshold)
+            new = high + 1 + k if high < 2**62 else low - 1 - k
+            rows.append((new, 1, (cosine * v + np.sqrt(1 - cosine**2) * away).tolist()))
+        if rows:
+            probes = found.sparkSession.createDataFrame(rows, "rep bigint, size bigint, v array<double>")
+            self.probes = stored(found.select("rep", "size", "v").unionByName(probes), "probes")
+            self.probed = stored(true_links(self.probes, {r[0]: np.asarray(r[2]) for r in rows}, threshold), "audit")
+
+    def recall(self, result: DataFrame, search: Callable[[DataFrame], DataFrame]) -> float:
+        """Mean over the nodes with true links, and over the probes if there are any."""
+        shares = _judged(self.real, result)
+        if self.probes is not None:
+            shares += _judged(self.probed, search(self.probes))
+        if not shares:
+            return 1.0 if self.whole else 0.0
+        return sum(shares) / len(shares)
 
 
 def near_duplicates(
     vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95,
     overlap: int = 2, shard: int = 2000, sample: int = 20_000, target: float = 0.98,
+    queries: int = 256, most_queries: int = 4096, enough: int = 64,
 ) -> DataFrame:
     """(vec_id, n_links, component_id) for each row."""
     found = stored(nodes(vectors, vec_id, embedding), "nodes")
     count = found.count()
+    audit = None
     while True:
         centers = _centroids(found, count, sample, shard, overlap)
-        result = _search(_assigned(found, centers, overlap), threshold, shard)
-        most = max((len(c) for c in centers.values()), default=1)
-        if overlap >= most or recall(found, result, threshold) >= target:
+
+        def search(rows: DataFrame) -> DataFrame:
+            return _search(_assigned(rows, centers, overlap), threshold, shard)  # noqa: B023
+
+        result = search(found)
+        if overlap >= max((len(c) for c in centers.values()), default=1):
+            break
+        audit = audit or Audit(found, count, threshold, queries, most_queries, enough)
+        if audit.recall(result, search) >= target:
             break
         overlap *= 2
-    linked = result.groupBy("rep").agg(F.sum("links").alias("links"))
+    linked = _counted(result)
     usable = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(F.col(embedding).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("v"))
     member = usable.join(found, "v", "left").join(linked, "rep", "left")
     edges = result.filter("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b"))

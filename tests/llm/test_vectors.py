@@ -45,6 +45,33 @@ def test_no_group_holds_a_whole_shard(spark, monkeypatch):
     assert got == dict(enumerate(((unit @ unit.T >= 0.95).sum(1) - 1).tolist()))
 
 
+def _pairs(rng, n, cosine, dims=16):
+    a, b = rng.normal(size=(2, n, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return np.concatenate([a, cosine * a + (1 - cosine**2) ** 0.5 * b])
+
+
+def test_a_large_group_does_not_hide_lost_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = np.concatenate([_pairs(rng, 50, 0.952), rng.normal(size=16) + rng.normal(size=(120, 16)) * 0.01])
+    table = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    # All links of the group are found and none of the pairs: 99 % of the links, but hardly more than half of the nodes.
+    result = spark.createDataFrame([(k, 119, [], [], None) for k in range(100, 220)], "rep long, links long, others array<long>, heavy array<string>, other long")
+    audit = vector_graph.Audit(vector_graph.nodes(table, "vec_id", "embedding"), 220, 0.95, 256, 4096, 64)
+    assert abs(audit.recall(result, None) - 120 / 220) < 1e-9
+
+
+def test_no_evidence_is_not_full_recall(spark):
+    rng = np.random.default_rng(9)
+    rows = np.concatenate([_pairs(rng, 50, 0.952), rng.normal(size=(300, 16))])
+    table = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    # Few queries, so that next to none has a true link.
+    got = vector_graph.near_duplicates(table, overlap=1, shard=40, sample=400, queries=4, most_queries=4).collect()
+    assert sum(r["n_links"] > 0 for r in got if r["vec_id"] < 100) >= 94
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(50, 51)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(links).collect()}
