@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partonflow.llm import bpe, fingerprint, html_extract, langid, line_dedup, lm_score, minhash, packing, toxicity, vector_graph
+from partonflow.llm import bpe, byte_prefix, centroids, dialogue, fingerprint, html_extract, langid, line_dedup, lm_score, minhash, packing, toxicity, vector_graph
 from partonflow.llm.common import crc_bucket
+from partonflow.llm.sql import SQL
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_sql: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,7 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return dict(SQL)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,3 +100,48 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = byte_prefix.encode(docs, path, public_tokenizers.PATTERN, decoded="decoded")
+    return made.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
+def damaged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The conversation rows that are left after the damage, and those that it drops."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    rows = rows.select("conv_id", "turn", "role", "text", F.pmod(F.crc32(key.cast("binary")), F.lit(20)).alias("damage"))
+    text = F.coalesce("text", space)
+    left = rows.filter("damage != 0").select(
+        "conv_id",
+        "turn",
+        F.when(F.col("damage") == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.when(F.col("damage") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    )
+    return left.drop("copy"), rows.filter("damage = 0")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, dropped = damaged(table(spark, sf_dir, "conversations"))
+    found, parts = dialogue.repair(left, dropped)
+    digest = F.sha2(F.coalesce("transcript", F.lit("")), 256)
+    whole = found.filter("NOT shared").withColumn("repaired_sha256", digest)
+    shared = found.filter("shared").alias("f").join(dialogue.digests(parts).alias("d"), F.col("f.conv_id").eqNullSafe(F.col("d.conv_id")), "left")
+    joined = shared.select("f.*", F.coalesce("d.repaired_sha256", digest).alias("repaired_sha256"))
+    return whole.unionByName(joined).drop("shared", "transcript")
