@@ -32,7 +32,7 @@ import base64
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -168,6 +168,25 @@ class Prefixes:
         return out[::-1]
 
 
+class Words(dict):
+    """Short pretokens and their ids: the last ``limit`` that were new, and those of the ``limit`` before that came again."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(word) <= 64:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class PrefixCodec:
     """Texts to ids and back, pretoken by pretoken."""
 
@@ -179,27 +198,20 @@ class PrefixCodec:
         import public_tokenizers
 
         self.plain = pattern == public_tokenizers.PATTERN
-        self.cache, self.words = cache, {}
+        self.words = Words(self.word, cache)
 
     def split(self, text: str) -> list[str]:
         """Pretokens; plain texts by an equivalent expression of the faster library."""
         return (PLAIN_SPLIT if self.plain and PLAIN.fullmatch(text) else self.general).findall(text)
 
     def word(self, word: str) -> bytes:
-        """Packed ids of one pretoken; the short ones are remembered, up to ``cache`` of them."""
-        found = self.words.get(word)
-        if found is None:
-            data = word.encode()
-            whole = self.ranks.tokens.get(data)
-            found = packed(Prefixes(self.ranks, data).ids() if whole is None else [whole])
-            if len(word) <= 64:
-                if len(self.words) >= self.cache:
-                    self.words.clear()
-                self.words[word] = found
-        return found
+        """Packed ids of one pretoken."""
+        data = word.encode()
+        whole = self.ranks.tokens.get(data)
+        return packed(Prefixes(self.ranks, data).ids() if whole is None else [whole])
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(b"".join(map(self.word, self.split(part))) for part in slices(text or ""))
+        return b"".join(b"".join(map(self.words.__getitem__, self.split(part))) for part in slices(text or ""))
 
     def decode(self, ids: bytes | None) -> bytes:
         return b"".join(map(self.ranks.bytes.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
