@@ -65,6 +65,7 @@ WHERE a.charge + b.charge = 0""",
         by=("lepton",),
         hard="SELECT * FROM obj WHERE coll > 0 AND pt > 10",
         exact="SELECT event_id, coll FROM hard GROUP BY 1, 2 HAVING count(*) = 2",
+        cats="SELECT * FROM (VALUES ('mumu'), ('ee')) t(lepton)",
     ),
 )
 def agc_dilepton(inputs: Inputs) -> DataFrame:
@@ -207,6 +208,15 @@ FILLS = " UNION ALL ".join(
 TOP = st.SingleTop()
 
 
+def samples(inputs: Inputs, *collections: str) -> DataFrame:
+    """Events labelled by simulated sample, with the fields of the selection in these collections, all by default."""
+    reads = {c: f for c, f in st.READS.items() if c in (collections or st.READS)}
+    return inputs.reading(**reads).withColumn("dataset", F.col("sample"))
+
+
+LEPTONS = ("muons", "electrons")
+
+
 @query(
     "thq_objects",
     q.counters(
@@ -234,7 +244,7 @@ def thq_objects(inputs: Inputs) -> DataFrame:
         "loose electrons": F.size("electrons"),
         "tight electrons": tight_in("electrons"),
     }
-    return cutflow(st.objects(inputs.events_for(TOP)), steps)
+    return cutflow(st.objects(samples(inputs), parts=LEPTONS), steps)
 
 
 @query(
@@ -246,7 +256,7 @@ def thq_objects(inputs: Inputs) -> DataFrame:
     ),
 )
 def thq_jet_masks(inputs: Inputs) -> DataFrame:
-    picked = st.objects(inputs.events_for(TOP))
+    picked = st.objects(samples(inputs), parts=("all_jets",))
     return picked.select(
         "event_id",
         (lists.count_true(F.col("jets"), st.medium_b) >= 1).cast("int").alias("has_b"),
@@ -259,12 +269,12 @@ def thq_jet_masks(inputs: Inputs) -> DataFrame:
     q.sql("SELECT event_id FROM lmask", **selection()),
 )
 def thq_loose_mass_veto(inputs: Inputs) -> DataFrame:
-    picked = st.objects(inputs.events_for(TOP).filter(F.col("nMuon") + F.col("nElectron") >= 2))
+    picked = st.objects(samples(inputs).filter(F.col("nMuon") + F.col("nElectron") >= 2), parts=LEPTONS)
     return picked.filter(st.pair_masses_all_at_least(F.col("leptons"), 12)).select("event_id")
 
 
 def _tight_only(inputs: Inputs) -> DataFrame:
-    picked = st.objects(inputs.events_for(TOP).filter(F.col("nMuon") + F.col("nElectron") >= 2))
+    picked = st.objects(samples(inputs).filter(F.col("nMuon") + F.col("nElectron") >= 2), parts=LEPTONS)
     return picked.select(
         "event_id", lists.keep(F.col("leptons"), lambda x: x["tight"]).alias("tight")
     )
@@ -282,7 +292,7 @@ def thq_trilepton(inputs: Inputs) -> DataFrame:
 
 @query("thq_channels", q.sql("SELECT event_id, channel FROM chosen", **selection()))
 def thq_channels(inputs: Inputs) -> DataFrame:
-    return st.select(inputs.events_for(TOP)).select("event_id", "channel")
+    return st.select(samples(inputs)).select("event_id", "channel")
 
 
 @query(
@@ -291,7 +301,7 @@ def thq_channels(inputs: Inputs) -> DataFrame:
 )
 def thq_observables(inputs: Inputs) -> DataFrame:
     """All histograms of all channels from one scan; flow bins included."""
-    return TOP.histogram(inputs.events_for(TOP))
+    return TOP.histogram(samples(inputs))
 
 
 @query(
@@ -323,7 +333,7 @@ def thq_observables(inputs: Inputs) -> DataFrame:
     ),
 )
 def thq_cutflow(inputs: Inputs) -> DataFrame:
-    return TOP.cutflow(inputs.events_for(TOP))
+    return TOP.cutflow(samples(inputs))
 
 
 WEIGHTS = (
@@ -351,7 +361,7 @@ FROM hist JOIN scales USING (dataset) GROUP BY ALL""",
     ),
 )
 def thq_scaled(inputs: Inputs) -> DataFrame:
-    hist = TOP.scaled(inputs.events_for(TOP))
+    hist = TOP.scaled(samples(inputs))
     return hist.withColumns({c: F.round(c, 6) for c in ("sumw", "sumw2")})
 
 
@@ -362,11 +372,12 @@ def thq_scaled(inputs: Inputs) -> DataFrame:
         "WHERE pos = 1 AND channel IN ('mumu', 'ee')",
         st.SecondLeptonPt.axes,
         by=("channel",),
+        cats="SELECT * FROM (VALUES ('mumu'), ('ee')) t(channel)",
         **selection(1),
     ),
 )
 def tut_second_pt(inputs: Inputs) -> DataFrame:
-    return st.SecondLeptonPt().dense_histogram(inputs.events_for(TOP))
+    return st.SecondLeptonPt().dense_histogram(samples(inputs))
 
 
 @query(
@@ -378,11 +389,12 @@ JOIN (SELECT event_id, eta, row_number() OVER (PARTITION BY event_id ORDER BY pt
   FROM jet WHERE btag > 0.8484e0) b USING (event_id) WHERE r = 1 AND channel = 'mumu'""",
         st.ForwardJetGap.axes,
         by=("channel",),
+        cats="SELECT 'mumu' AS channel",
         **selection(1),
     ),
 )
 def tut_etadiff(inputs: Inputs) -> DataFrame:
-    return st.ForwardJetGap().dense_histogram(inputs.events_for(TOP))
+    return st.ForwardJetGap().dense_histogram(samples(inputs))
 
 
 EXPLORED = {

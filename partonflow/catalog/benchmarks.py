@@ -93,9 +93,11 @@ HIST_SQL = {
     ),
 }
 
+#: Fixed value of the query: chunks of 1,000 events.
+CHUNKS = "CASE WHEN rn % 1000 = 1 THEN 1 ELSE 0 END"
 N_JETS = "SELECT event_id, count(*) AS n FROM jet GROUP BY 1"
 COUNTER_SQL = {
-    "adl1_met": q.counters("SELECT dataset FROM ev", {"all events": "1"}),
+    "adl1_met": q.counters("SELECT dataset, row_number() OVER (PARTITION BY dataset) AS rn FROM ev", {"all events": "1", "number of chunks": CHUNKS}),
     "adl2_jet_pt": q.counters(
         "SELECT dataset, n FROM ev LEFT JOIN nj USING (event_id)",
         {"all events": "1", "all jets": "n"},

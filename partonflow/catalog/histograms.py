@@ -12,7 +12,6 @@ from partonflow.operators import hist
 from partonflow.operators.hist import Axis
 from partonflow.plans import single_top as st
 from partonflow.plans.benchmarks import MissingEnergy
-from partonflow.sources.fileset import count_entries
 
 MET = MissingEnergy()
 MET_AXES = MET.axes
@@ -74,13 +73,13 @@ JOINT = (Axis("pt", 10, 0, 100), Axis("eta", 10, -2.5, 2.5), Axis("btag", 4, 0,
     ),
 )
 def hist_multi_axis(inputs: Inputs) -> DataFrame:
-    jets = inputs.events.select("dataset", F.explode("Jet").alias("j"))
+    jets = inputs.reading(Jet=("pt", "eta", "btag")).select("dataset", F.explode("Jet").alias("j"))
     return hist.fill_joint(jets.select("dataset", "j.pt", "j.eta", "j.btag"), JOINT)
 
 
 @query("hist_dense", q.dense_hist(MET_FILLS, MET_AXES))
 def hist_dense(inputs: Inputs) -> DataFrame:
-    return hist.dense(MET.histogram(inputs.events), MET_AXES)
+    return hist.dense(MET.tally(inputs.events), MET_AXES)
 
 
 @query(
@@ -238,10 +237,8 @@ def by_sample(inputs: Inputs) -> DataFrame:
     ),
 )
 def scale_by_weight(inputs: Inputs) -> DataFrame:
-    rows = by_sample(inputs)
-    scaled = hist.scale(
-        hist.fill(rows, MET_AXES), count_entries(rows), st.CROSS_SECTIONS, st.LUMINOSITY
-    )
+    told = hist.tally(by_sample(inputs), MET_AXES, counters=[])
+    scaled = hist.scaled(told, st.CROSS_SECTIONS, st.LUMINOSITY)
     return scaled.withColumns({c: F.round(c, 6) for c in ("sumw", "sumw2")})
 
 
@@ -308,5 +305,5 @@ PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 def overlay_pivot(inputs: Inputs) -> DataFrame:
     """One series per dataset, whichever there are."""
     shown = hist.visible(MET.histogram(inputs.events), MET_AXES)
-    labels = sorted(r[0] for r in inputs.events.select("dataset").distinct().collect() if r[0] is not None)
+    labels = sorted((r[0] for r in inputs.events.select("dataset").distinct().collect()), key=lambda x: (x is None, x or ""))
     return hist.overlaid(shown, labels)

@@ -14,6 +14,7 @@ from partonflow.plans.benchmarks import JetPt, MissingEnergy
 from partonflow.sources.fileset import (
     count_chunks,
     count_entries,
+    files_by,
     first_chunks,
     first_events,
     read_fileset,
@@ -21,10 +22,8 @@ from partonflow.sources.fileset import (
 )
 from partonflow.sources.scratch import scratch_path
 
-# The directories of the first dataset; all others make up the second.
+# The labels of the first dataset; all others make up the second.
 FIRST_DATASET = ("1-URGENT", "2-HIGH")
-#: Directory of the events without a label.
-NO_LABEL = "__HIVE_DEFAULT_PARTITION__"
 TWO_SQL = (
     "SELECT CASE WHEN dataset IN ('1-URGENT', '2-HIGH') THEN 'tHq' ELSE 'tHW' END AS dataset, "
     "event_id, met_pt FROM ev"
@@ -32,13 +31,12 @@ TWO_SQL = (
 
 
 def two_datasets(inputs: Inputs) -> DataFrame:
-    """All events as two datasets of several directories each."""
-    fileset: dict[str, list[str]] = {}
-    # One row per directory of the tree.
-    for (label,) in sorted(inputs.events.select("dataset").distinct().collect(), key=str):
-        name = "tHq" if label in FIRST_DATASET else "tHW"
-        fileset.setdefault(name, []).append(f"{inputs.location}/Events/dataset={label or NO_LABEL}")
-    return read_fileset(inputs.spark, fileset)
+    """All events as two datasets of several files each."""
+    files = files_by(inputs.events, "dataset")
+    fileset: dict[str, list[str]] = {"tHq": [], "tHW": []}
+    for label, paths in files.items():
+        fileset["tHq" if label in FIRST_DATASET else "tHW"] += paths
+    return read_fileset(inputs.spark, {name: paths for name, paths in fileset.items() if paths})
 
 
 @query(

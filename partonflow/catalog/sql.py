@@ -143,19 +143,20 @@ def sparse_hist(
 
 def dense_hist(
     fills: str, axes: Sequence[Axis], by: Sequence[str] = ("dataset",), weight: bool = False,
-    **ctes: str,
+    cats: str = "SELECT DISTINCT dataset FROM ev", **ctes: str,
 ) -> str:
-    keys = ", ".join(by)
-    match = " AND ".join(f"h.{k} = c.{k}" for k in (*by, "variable"))
+    """Every bin of every category in ``cats``, which are those of the input, whatever passes."""
+    match = " AND ".join(f"h.{k} IS NOT DISTINCT FROM c.{k}" for k in (*by, "variable"))
     most = max(a.bins for a in axes)
     return sql(
         f"""SELECT {", ".join(f"c.{k}" for k in by)}, c.variable, CAST(r.bin AS INTEGER) AS bin,
   c.first + r.bin * c.width AS lo, c.first + (r.bin + 1) * c.width AS hi,
   coalesce(h.n, 0) AS n, coalesce(h.sumw, 0e0) AS sumw, coalesce(h.sumw2, 0e0) AS sumw2
-FROM (SELECT DISTINCT {keys}, variable, bins, first, width FROM hist) c
+FROM (SELECT cats.*, axes.* FROM cats, axes) c
 JOIN range({most}) r(bin) ON r.bin < c.bins
 LEFT JOIN hist h ON {match} AND h.bin = r.bin""",
         **ctes,
+        cats=cats,
         fills=fills,
         **binned(axes, by, weight),
     )

@@ -84,6 +84,36 @@ def triples(items: Column, make: Make = _tuple) -> Column:
     return arg_triples(items, lambda i, j, k, a, b, c: make(a, b, c))
 
 
+def closest_triples(items: Column, distance: Make, make: Make = _tuple) -> Column:
+    """The triples tied for the smallest ``distance(a, b, c)``, in list order.
+
+    The minimum is taken level by level, so that the longest list in between is as
+    long as ``items``, not as the number of triples; then only the triples at
+    that distance are made.
+    """
+
+    def smallest(xs: Column) -> Column:
+        def third(a: Column, b: Column, after: Column) -> Column:
+            return F.array_min(F.transform(_after(xs, after), lambda c: distance(a, b, c)))
+
+        def second(a: Column, i: Column) -> Column:
+            return F.array_min(F.transform(_after(xs, i), lambda b, j: third(a, b, i + j + 1)))
+
+        return F.array_min(F.transform(xs, second))
+
+    def tied(xs: Column, low: Column) -> Column:
+        def third(a: Column, b: Column, after: Column) -> Column:
+            at = F.filter(_after(xs, after), lambda c: distance(a, b, c) == low)
+            return F.transform(at, lambda c: make(a, b, c))
+
+        def second(a: Column, i: Column) -> Column:
+            return F.flatten(F.transform(_after(xs, i), lambda b, j: third(a, b, i + j + 1)))
+
+        return F.flatten(F.transform(xs, second))
+
+    return let(items, lambda xs: let(smallest(xs), lambda low: tied(xs, low)))
+
+
 def cross_nested(left: Column, right: Column, make: Make = _tuple) -> Column:
     """Cross pairs as one list per left element."""
     return let(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def narrow(collection: str, *fields: str) -> Column:
@@ -55,12 +56,18 @@ def counts_differ(df: DataFrame, lists: str, count: str) -> DataFrame:
     return df.filter(F.size(F.col(lists)) != F.col(count))
 
 
-def settle(df: DataFrame, keep: tuple[str, ...], columns: dict[str, Column]) -> DataFrame:
-    """Compute ``columns`` once per row and carry ``keep`` along.
+def with_counts(events: DataFrame) -> DataFrame:
+    """Events with ``n<Collection>`` of every list of records that has no stored count."""
+    lists = [f.name for f in events.schema if isinstance(f.dataType, T.ArrayType)]
+    return events.withColumns({f"n{c}": F.size(c) for c in lists if f"n{c}" not in events.columns})
+
+
+def settle(df: DataFrame, keep: tuple[str, ...], columns: dict[str, Column], when: Column | None = None) -> DataFrame:
+    """Compute ``columns`` once per row and carry ``keep`` along; NULL where ``when`` does not hold.
 
     Filters on computed columns are normally pushed below the projection by
     substituting the expression, once per use, which repeats list work.  A
     one-element ``inline`` is not a projection, so later steps see plain columns.
     """
-    row = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return df.select(*keep, F.inline(F.array(row)))
+    row = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select(*keep, F.inline(row) if when is None else F.inline_outer(F.when(when, row)))

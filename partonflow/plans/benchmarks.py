@@ -1,8 +1,8 @@
 """The eight benchmark queries on events with jets, muons, electrons and MET.
 
-Shape of every query: declare the collection fields in use, cut on the stored
-counts (a plain comparison that reaches the Parquet reader), and only then run
-list expressions.
+Shape of every query: declare the collection fields in use, test the stored counts
+first (where only filled bins are wanted that comparison reaches the Parquet
+reader), and only then run list expressions.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from partonflow.functions import lists, p4
 from partonflow.operators import combine
 from partonflow.operators.hist import Axis
-from partonflow.operators.records import as_type, concat
+from partonflow.operators.records import as_type, concat, settle
 from partonflow.plans.analysis import Analysis
 
 # Reference masses in GeV.
@@ -26,8 +26,11 @@ class MissingEnergy(Analysis):
 
     axes = (Axis("MET", 50, 0, 100),)
 
-    def process(self, events: DataFrame) -> DataFrame:
-        return events.select("dataset", F.col("MET.pt").alias("MET"))
+    def __init__(self, chunk_size: int | None = None):
+        self.chunk_size = chunk_size
+
+    def values(self) -> dict[str, Column]:
+        return {"MET": F.col("MET.pt")}
 
     def counters(self) -> dict[str, Column]:
         return {"all events": F.lit(1)}
@@ -38,8 +41,8 @@ class JetPt(Analysis):
 
     axes = (Axis("Jet_pt", 100, 15, 60),)
 
-    def process(self, events: DataFrame) -> DataFrame:
-        return events.select("dataset", F.col("Jet.pt").alias("Jet_pt"))
+    def values(self) -> dict[str, Column]:
+        return {"Jet_pt": F.col("Jet.pt")}
 
     def counters(self) -> dict[str, Column]:
         return {"all events": F.lit(1), "all jets": lists.count(F.col("Jet.pt"))}
@@ -55,8 +58,8 @@ class CentralJetPt(Analysis):
         jets = events.select("dataset", "Jet")
         return jets.withColumn("good", lists.keep(F.col("Jet"), lambda j: F.abs(j["eta"]) < 1))
 
-    def process(self, events: DataFrame) -> DataFrame:
-        return self.prepare(events).select("dataset", F.col("good.pt").alias("Jet_pt"))
+    def values(self) -> dict[str, Column]:
+        return {"Jet_pt": F.col("good.pt")}
 
     def counters(self) -> dict[str, Column]:
         central = lists.count_true(F.col("Jet"), lambda j: F.abs(j["eta"]) < 1)
@@ -73,15 +76,14 @@ class MissingEnergyTwoJets(Analysis):
 
     axes = (Axis("MET_pt", 50, 0, 125),)
 
+    def candidates(self) -> Column:
+        return F.col("nJet") >= 2
+
     def _passes(self) -> Column:
         return lists.count_true(F.col("Jet.pt"), lambda pt: pt > 40) >= 2
 
-    def process(self, events: DataFrame) -> DataFrame:
-        return (
-            events.filter(F.col("nJet") >= 2)
-            .filter(self._passes())
-            .select("dataset", F.col("MET.pt").alias("MET_pt"))
-        )
+    def values(self) -> dict[str, Column]:
+        return {"MET_pt": F.when(self.candidates() & self._passes(), F.col("MET.pt"))}
 
     def counters(self) -> dict[str, Column]:
         return {"all events": F.lit(1), "final events": self._passes().cast("int")}
@@ -93,26 +95,26 @@ class MissingEnergyDimuon(Analysis):
     axes = (Axis("MET", 50, 1, 100),)
     reads = {"Muon": ("pt", "eta", "phi", "mass", "charge")}
 
-    def _passes(self) -> Column:
+    def candidates(self) -> Column:
+        return F.col("nMuon") >= 2
+
+    def prepare(self, events: DataFrame) -> DataFrame:
         muons = p4.with_cartesian(F.col("Muon"), "charge")
         masses = combine.pairs(
             muons, lambda a, b: F.when(a["charge"] != b["charge"], p4.stable(p4.mass(a, b)))
         )
-        return lists.some(masses, lambda m: (m >= 60) & (m < 120))
+        found = lists.some(masses, lambda m: (m >= 60) & (m < 120))
+        passes = F.when(self.candidates(), found).otherwise(False)
+        return settle(events, ("dataset", "nMuon", "MET"), {"passes": passes})
 
-    def process(self, events: DataFrame) -> DataFrame:
-        return (
-            events.filter(F.col("nMuon") >= 2)
-            .filter(self._passes())
-            .select("dataset", F.col("MET.pt").alias("MET"))
-        )
+    def values(self) -> dict[str, Column]:
+        return {"MET": F.when(F.col("passes"), F.col("MET.pt"))}
 
     def counters(self) -> dict[str, Column]:
-        enough = F.when(F.col("nMuon") >= 2, self._passes()).otherwise(False)
         return {
             "all events": F.lit(1),
             "all muons": F.col("nMuon"),
-            "final events": enough.cast("int"),
+            "final events": F.col("passes").cast("int"),
         }
 
 
@@ -125,27 +127,24 @@ class Trijet(Analysis):
         self.tag, self.target = tag, target
         self.reads = {"Jet": ("pt", "eta", "phi", "mass", tag)}
 
-    def process(self, events: DataFrame) -> DataFrame:
+    def candidates(self) -> Column:
+        return F.col("nJet") >= 3
+
+    def prepare(self, events: DataFrame) -> DataFrame:
         jets = lists.keep(F.col("Jet"), lambda j: j["pt"] > 30)
 
-        def summed(a: Column, b: Column, c: Column) -> Column:
+        def distance(a: Column, b: Column, c: Column) -> Column:
+            return p4.stable(F.abs(F.lit(self.target) - p4.stable(p4.mass(a, b, c))))
+
+        def chosen(a: Column, b: Column, c: Column) -> Column:
             tag = p4.elementwise_max(a[self.tag], b[self.tag], c[self.tag])
-            return p4.add(a, b, c).withField("tag", tag)
+            return F.struct(p4.stable(p4.pt(a, b, c)).alias("pt"), tag.alias("tag"))
 
-        def candidate(v: Column) -> Column:
-            distance = p4.stable(F.abs(F.lit(self.target) - p4.stable(p4.mass(v))))
-            return v.withField("d", distance)
+        best = combine.closest_triples(p4.with_cartesian(jets, self.tag), distance, chosen)
+        return settle(events, ("dataset",), {"best": F.when(self.candidates(), best)})
 
-        vectors = p4.with_cartesian(jets, self.tag)
-        scored = F.transform(combine.triples(vectors, summed), candidate)
-        best = events.filter(F.col("nJet") >= 3).select(
-            "dataset", combine.keep_at_minimum(scored, "d").alias("best")
-        )
-        return best.select(
-            "dataset",
-            F.transform("best", lambda v: p4.stable(p4.pt(v))).alias("Jet_pt"),
-            F.col("best.tag").alias("b_tag"),
-        )
+    def values(self) -> dict[str, Column]:
+        return {"Jet_pt": F.col("best.pt"), "b_tag": F.col("best.tag")}
 
 
 class IsolatedJetHt(Analysis):
@@ -184,10 +183,9 @@ class IsolatedJetHt(Analysis):
             F.size("electrons").alias("n_electrons"),
         )
 
-    def process(self, events: DataFrame) -> DataFrame:
+    def values(self) -> dict[str, Column]:
         kept = lists.keep(F.col("jets"), lambda j: j["m"] & j["e"])
-        ht = lists.total(F.transform(kept, lambda j: j["pt"]))
-        return self.prepare(events).select("dataset", p4.stable(ht).alias("Jet_pt"))
+        return {"Jet_pt": p4.stable(lists.total(F.transform(kept, lambda j: j["pt"])))}
 
     def counters(self) -> dict[str, Column]:
         jets = F.col("jets")
@@ -232,9 +230,10 @@ class ThirdLeptonMt(Analysis):
             selected("Muon", 0, 2.4).alias("muons"),
             selected("Electron", 1, 2.5).alias("electrons"),
         ).withColumn("leptons", concat(F.col("muons"), F.col("electrons")))
-        return leptons.withColumn(
+        rest = leptons.withColumn(
             "rest", F.when(F.size("leptons") >= 3, self._outside_pair(F.col("leptons")))
         )
+        return rest.withColumn("lep", lists.at_max(F.col("rest"), lambda x: x["pt"]))
 
     def _outside_pair(self, leptons: Column) -> Column:
         """Leptons outside the same-flavour opposite-charge pair closest to the Z mass."""
@@ -250,15 +249,12 @@ class ThirdLeptonMt(Analysis):
 
         return lists.let(F.array_min(combine.arg_pairs(vectors, scored)), rest)
 
-    def process(self, events: DataFrame) -> DataFrame:
-        third = lists.at_max(F.col("rest"), lambda x: x["pt"])
-        found = (
-            self.prepare(events.filter(F.col("nMuon") + F.col("nElectron") >= 3))
-            .select("dataset", "MET", third.alias("lep"))
-        )
+    def candidates(self) -> Column:
+        return F.col("nMuon") + F.col("nElectron") >= 3
+
+    def values(self) -> dict[str, Column]:
         d_phi = p4.delta_phi(F.col("MET.phi"), F.col("lep.phi"))
-        mt = p4.transverse_mass(F.col("MET.pt"), F.col("lep.pt"), d_phi)
-        return found.select("dataset", p4.stable(mt).alias("massT"))
+        return {"massT": p4.stable(p4.transverse_mass(F.col("MET.pt"), F.col("lep.pt"), d_phi))}
 
     def counters(self) -> dict[str, Column]:
         n = F.size("leptons")
@@ -272,7 +268,7 @@ class ThirdLeptonMt(Analysis):
 
 
 BENCHMARKS: dict[str, Analysis] = {
-    "adl1_met": MissingEnergy(),
+    "adl1_met": MissingEnergy(chunk_size=1000),
     "adl2_jet_pt": JetPt(),
     "adl3_jet_pt_eta": CentralJetPt(),
     "adl4_met_2jets": MissingEnergyTwoJets(),

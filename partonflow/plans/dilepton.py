@@ -28,10 +28,11 @@ class ZPeak(Analysis):
     axes = (Axis("dimu_mass", 50, 20, 120),)
     reads = {"Muon": ("pt", "eta", "phi", "mass", "charge")}
 
-    def process(self, events: DataFrame) -> DataFrame:
-        return events.filter(F.col("nMuon") == 2).select(
-            "dataset", neutral_pair_mass(F.col("Muon"), "charge").alias("dimu_mass")
-        )
+    def candidates(self) -> Column:
+        return F.col("nMuon") == 2
+
+    def values(self) -> dict[str, Column]:
+        return {"dimu_mass": F.when(self.candidates(), neutral_pair_mass(F.col("Muon"), "charge"))}
 
 
 class SameFlavourMass(Analysis):
@@ -43,7 +44,9 @@ class SameFlavourMass(Analysis):
     axes = (Axis("dilep_mass", 50, 0, 150),)
     by = ("lepton",)
 
-    def process(self, events: DataFrame) -> DataFrame:
+    def prepare(self, events: DataFrame) -> DataFrame:
+        """Two rows per event, one of each kind."""
+
         def mass(collection: str) -> Column:
             hard = lists.keep(F.col(collection), lambda x: x["pt"] > 10)
             return F.when(
@@ -67,8 +70,9 @@ class JetHt(Analysis):
     axes = (Axis("ht", 50, 0, 1000),)
     weight = "weight"
 
-    def process(self, events: DataFrame) -> DataFrame:
+    def prepare(self, events: DataFrame) -> DataFrame:
+        return events.withColumn("weight", F.lit(1.0))
+
+    def values(self) -> dict[str, Column]:
         hard = lists.keep(F.col("Jet.pt"), lambda pt: pt > 25)
-        return events.select(
-            "dataset", p4.stable(lists.total(hard)).alias("ht"), F.lit(1.0).alias("weight")
-        )
+        return {"ht": p4.stable(lists.total(hard))}

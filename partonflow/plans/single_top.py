@@ -7,15 +7,16 @@ dropped on their stored counts before any list work.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partonflow.functions import lists, p4
 from partonflow.operators import combine
-from partonflow.operators.hist import Axis, regroup, scale
-from partonflow.operators.records import concat, settle
+from partonflow.operators.hist import Axis, regroup, scaled
+from partonflow.operators.records import concat, settle, with_counts
 from partonflow.plans.analysis import Analysis
-from partonflow.sources.fileset import count_entries
 
 # Working points, masses and the weights of the simulated samples.
 LOOSE_BTAG = 0.5425
@@ -129,25 +130,36 @@ def light(j: Column) -> Column:
     return central_or_hard & (j["btagCSVV2"] <= LOOSE_BTAG)
 
 
-def objects(events: DataFrame, min_tight_charge: int = 0) -> DataFrame:
-    """Selected leptons and jets of every event."""
+#: What :func:`objects` can build, with the collection each part is read from.
+PARTS = {"muons": "Muon", "electrons": "Electron", "all_jets": "Jet"}
+
+
+def objects(
+    events: DataFrame, min_tight_charge: int = 0, parts: Sequence[str] = tuple(PARTS), when: Column | None = None
+) -> DataFrame:
+    """Selected leptons and jets of every event, of none where ``when`` does not hold.
+
+    Only the collections of the named parts are read.  The events need a ``dataset``;
+    an ``event_id`` is carried along if there is one.
+    """
 
     def leptons(collection, flavor, loose, tight) -> Column:
         kept = lists.keep(F.col(collection), loose)
         return F.transform(kept, lambda x: _lepton(x, flavor, tight(x, min_tight_charge)))
 
-    columns = {
-        "muons": leptons("Muon", 0, loose_muon, tight_muon),
-        "electrons": leptons("Electron", 1, loose_electron, tight_electron),
-        "all_jets": F.col("Jet"),
+    made = {
+        "muons": lambda: leptons("Muon", 0, loose_muon, tight_muon),
+        "electrons": lambda: leptons("Electron", 1, loose_electron, tight_electron),
+        "all_jets": lambda: F.col("Jet"),
     }
-    picked = settle(events.withColumn("dataset", F.col("sample")), ("event_id", "dataset"), columns)
-    return picked.withColumns(
-        {
-            "leptons": concat(F.col("muons"), F.col("electrons")),
-            "jets": lists.keep(F.col("all_jets"), lambda j: j["pt"] > 25),
-        }
-    )
+    kept = tuple(c for c in ("event_id", "dataset") if c in events.columns)
+    picked = settle(events, kept, {part: made[part]() for part in parts}, when)
+    more = {}
+    if "muons" in parts and "electrons" in parts:
+        more["leptons"] = concat(F.col("muons"), F.col("electrons"))
+    if "all_jets" in parts:
+        more["jets"] = lists.keep(F.col("all_jets"), lambda j: j["pt"] > 25)
+    return picked.withColumns(more)
 
 
 def pair_masses_all_at_least(leptons: Column, low: float) -> Column:
@@ -186,7 +198,9 @@ def classify(picked: DataFrame) -> DataFrame:
         "has_b": lists.count_true(F.col("jets"), medium_b) >= 1,
         "has_light": lists.count_true(F.col("jets"), light) >= 1,
     }
-    carried = ("event_id", "dataset", "muons", "electrons", "leptons", "jets", "all_jets")
+    carried = tuple(
+        c for c in ("event_id", "dataset", "muons", "electrons", "leptons", "jets", "all_jets") if c in picked.columns
+    )
     df = settle(picked, carried, columns)
     tight = F.col("tight")
     flavor = lists.total_int(F.transform(tight, lambda x: x["flavor"]))
@@ -203,17 +217,61 @@ def classify(picked: DataFrame) -> DataFrame:
     return settle(df, (*carried, "tight", "has_b", "has_light"), channel)
 
 
+def possible() -> Column:
+    """Stored counts that every event of a channel has at least."""
+    return (F.col("nJet") >= 2) & (F.col("nMuon") + F.col("nElectron") >= 2)
+
+
 def select(events: DataFrame, min_tight_charge: int = 0) -> DataFrame:
     """Events in one of the four channels."""
-    possible = events.filter(F.col("nJet") >= 2).filter(F.col("nMuon") + F.col("nElectron") >= 2)
-    return classify(objects(possible, min_tight_charge)).filter(F.col("channel").isNotNull())
+    chosen = with_counts(events).filter(possible())
+    return classify(objects(chosen, min_tight_charge)).filter(F.col("channel").isNotNull())
+
+
+CHANNELS = ("lll", "mumu", "emu", "ee")
+
 
+class Selection(Analysis):
+    """What the analyses of this selection share: values of selected events, computed for those only."""
 
-class SingleTop(Analysis):
+    by: Sequence[str] = ("channel",)
+    reads = READS
+    only = "selected"
+    channels: Sequence[str] = CHANNELS
+
+    def __init__(self, min_tight_charge: int = 0):
+        self.min_tight_charge = min_tight_charge
+        self.categories = {"channel": self.channels}
+
+    def candidates(self) -> Column:
+        return possible()
+
+    def prepare(self, events: DataFrame) -> DataFrame:
+        return self._judged(events, None)
+
+    def prepare_values(self, events: DataFrame) -> DataFrame:
+        return self._judged(events, possible())
+
+    def _judged(self, events: DataFrame, when: Column | None) -> DataFrame:
+        """Every event with its channel; the channel of an event that is not selected is NULL."""
+        judged = classify(objects(events, self.min_tight_charge, when=when))
+        selected = F.coalesce(F.col("channel").isin(*self.channels), F.lit(False))
+        return self.measured(judged.withColumn("channel", F.when(selected, F.col("channel"))).withColumn("selected", selected))
+
+    def measured(self, judged: DataFrame) -> DataFrame:
+        return judged
+
+    def observables(self) -> dict[str, Column]:
+        raise NotImplementedError
+
+    def values(self) -> dict[str, Column]:
+        return {k: F.when(F.col("selected"), v) for k, v in self.observables().items()}
+
+
+class SingleTop(Selection):
     """Ten observables in the channels lll, mumu, emu and ee."""
 
     by = ("dataset", "channel")
-    reads = READS
     axes = (
         Axis("3rdLepton_pT", 18, 0, 90),
         Axis("subleadLepton_pT", 18, 0, 144),
@@ -228,18 +286,8 @@ class SingleTop(Analysis):
         Axis("TotalCharge", 5, -2, 3),
     )
 
-    def __init__(self, min_tight_charge: int = 0):
-        self.min_tight_charge = min_tight_charge
-
-    def observables(self, selected: DataFrame) -> DataFrame:
-        df = selected.withColumns(
-            {
-                "lights": lists.keep(F.col("jets"), lambda j: j["btagCSVV2"] <= LOOSE_BTAG),
-                "bs": lists.keep(F.col("jets"), lambda j: j["btagCSVV2"] > MEDIUM_BTAG),
-            }
-        ).withColumn("fwd", lists.largest(F.col("lights.eta")))
-        tight, fwd = F.col("tight"), F.col("fwd")
-        three = F.col("channel") == "lll"
+    def measured(self, judged: DataFrame) -> DataFrame:
+        selected, tight = F.col("selected"), F.col("tight")
         pairs = combine.pairs(
             tight,
             lambda a, b: F.struct(
@@ -248,34 +296,35 @@ class SingleTop(Analysis):
                 p4.stable(p4.delta_r(a, b)).alias("dr"),
             ),
         )
+        return judged.withColumns(
+            {
+                "lights": F.when(selected, lists.keep(F.col("jets"), lambda j: j["btagCSVV2"] <= LOOSE_BTAG)),
+                "bs": F.when(selected, lists.keep(F.col("jets"), lambda j: j["btagCSVV2"] > MEDIUM_BTAG)),
+                "pairs": F.when(selected, pairs),
+            }
+        ).withColumn("fwd", lists.largest(F.col("lights.eta")))
+
+    def observables(self) -> dict[str, Column]:
+        tight, fwd = F.col("tight"), F.col("fwd")
+        three = F.col("channel") == "lll"
         hard_lights = F.filter("lights", lambda j: j["pt"] > 40)
         lead_b = lists.at_max(F.col("bs"), lambda j: j["pt"], lambda j: j["eta"])
         second_b = lists.at_second_max(F.col("bs"), lambda j: j["pt"], lambda j: j["eta"])
         lepton_gap = F.array_min(F.transform(tight, lambda x: p4.stable(fwd - x["eta"])))
-        return df.withColumn("pairs", pairs).select(
-            "event_id",
-            "dataset",
-            "channel",
-            F.when(three, F.array_min("tight.pt")).alias("3rdLepton_pT"),
-            F.when(~three, F.get("tight", F.lit(1))["pt"]).alias("subleadLepton_pT"),
-            p4.stable(F.abs(fwd - lead_b)).alias("fwdJet_leadbJet"),
-            p4.stable(F.abs(fwd - second_b)).alias("fwdJet_subleadbJet"),
-            lepton_gap.alias("fwdJet_closestLepton"),
-            lists.at_max(F.col("pairs"), lambda p: p["pt"], lambda p: p["dphi"]).alias("highpT_sslp"),
-            F.coalesce(
-                F.array_max(F.transform(hard_lights, lambda j: F.abs(j["eta"]))), F.lit(0.0)
-            ).alias("jetMaxEta"),
-            F.array_min("pairs.dr").alias("minDelR"),
-            lists.count_true(F.col("jets"), lambda j: F.abs(j["eta"]) < 2.4).alias("nJet25"),
-            lists.count_true(F.col("lights"), lambda j: F.abs(j["eta"]) > 1).alias("nJetEta1"),
-            lists.total_int(F.col("tight.charge")).alias("TotalCharge"),
-        )
-
-    def process(self, events: DataFrame) -> DataFrame:
-        return self.observables(select(events, self.min_tight_charge))
-
-    def prepare(self, events: DataFrame) -> DataFrame:
-        return classify(objects(events, self.min_tight_charge))
+        hardest = F.array_max(F.transform(hard_lights, lambda j: F.abs(j["eta"])))
+        return {
+            "3rdLepton_pT": F.when(three, F.array_min("tight.pt")),
+            "subleadLepton_pT": F.when(~three, F.get("tight", F.lit(1))["pt"]),
+            "fwdJet_leadbJet": p4.stable(F.abs(fwd - lead_b)),
+            "fwdJet_subleadbJet": p4.stable(F.abs(fwd - second_b)),
+            "fwdJet_closestLepton": lepton_gap,
+            "highpT_sslp": lists.at_max(F.col("pairs"), lambda p: p["pt"], lambda p: p["dphi"]),
+            "jetMaxEta": F.coalesce(hardest, F.lit(0.0)),
+            "minDelR": F.array_min("pairs.dr"),
+            "nJet25": lists.count_true(F.col("jets"), lambda j: F.abs(j["eta"]) < 2.4),
+            "nJetEta1": lists.count_true(F.col("lights"), lambda j: F.abs(j["eta"]) > 1),
+            "TotalCharge": lists.total_int(F.col("tight.charge")),
+        }
 
     def counters(self) -> dict[str, Column]:
         """All but the first count objects, not events."""
@@ -304,46 +353,46 @@ class SingleTop(Analysis):
             "jets through trilepton mask": counted(channel == "lll", n_jets),
         }
 
-    def cutflow(self, events: DataFrame) -> DataFrame:
-        from partonflow.operators.hist import cutflow
-
-        return cutflow(self.prepare(events), self.counters(), ("dataset",))
-
-    def scaled(self, events: DataFrame) -> DataFrame:
-        """Histogram weighted to the luminosity and merged into groups.
+    def scaled_of(self, told: DataFrame) -> DataFrame:
+        """Histogram of a full tally weighted to the luminosity and merged into groups.
 
         The weights use the number of all events of a dataset, before any cut.
         """
-        samples = events.select(F.col("sample").alias("dataset"))
-        weighted = scale(
-            self.histogram(events), count_entries(samples), CROSS_SECTIONS, LUMINOSITY
-        )
+        weighted = scaled(told, CROSS_SECTIONS, LUMINOSITY)
         return regroup(weighted, GROUPS, "dataset", "scaled", ("channel",))
 
+    def scaled(self, events: DataFrame) -> DataFrame:
+        return self.scaled_of(self.tally(events, full=True, counters=False))
+
+    def results(self, told: DataFrame) -> dict[str, DataFrame]:
+        return super().results(told) | {"scaled": self.scaled_of(told)}
 
-class SecondLeptonPt(Analysis):
+
+class SecondLeptonPt(Selection):
     """pt of the second lepton in the mumu and ee channels, stricter charge cut."""
 
     axes = (Axis("pt2", 20, 0, 150),)
-    reads = READS
-    by = ("channel",)
+    channels = ("mumu", "ee")
 
-    def process(self, events: DataFrame) -> DataFrame:
-        selected = select(events, 1).filter(F.col("channel").isin("mumu", "ee"))
-        return selected.select("channel", F.get("tight", F.lit(1))["pt"].alias("pt2"))
+    def __init__(self):
+        super().__init__(1)
 
+    def observables(self) -> dict[str, Column]:
+        return {"pt2": F.get("tight", F.lit(1))["pt"]}
 
-class ForwardJetGap(Analysis):
+
+class ForwardJetGap(Selection):
     """Eta gap between the max-eta light jet and the max-pt b jet, mumu channel, all jets."""
 
     axes = (Axis("etadiff", 20, 0, 6),)
-    reads = READS
-    by = ("channel",)
+    channels = ("mumu",)
+
+    def __init__(self):
+        super().__init__(1)
 
-    def process(self, events: DataFrame) -> DataFrame:
-        selected = select(events, 1).filter(F.col("channel") == "mumu")
+    def observables(self) -> dict[str, Column]:
         lights = F.filter("all_jets", lambda j: j["btagCSVV2"] <= LOOSE_BTAG)
         bs = F.filter("all_jets", lambda j: j["btagCSVV2"] > MEDIUM_BTAG)
         fwd = F.array_max(F.transform(lights, lambda j: j["eta"]))
         lead = lists.at_max(bs, lambda j: j["pt"], lambda j: j["eta"])
-        return selected.select("channel", p4.stable(F.abs(lead - fwd)).alias("etadiff"))
+        return {"etadiff": p4.stable(F.abs(lead - fwd))}

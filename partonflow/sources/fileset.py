@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,20 @@ def read_fileset(
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def files_by(events: DataFrame, label: str) -> dict[str | None, list[str]]:
+    """The files that hold each label, NULL included, as the reader knows them.
+
+    The mapping comes from the file of every row, not from the way a label is
+    written into a folder name; it is one row per file and label.  Where ``label`` is
+    a partition column that reads no data, only the number of rows of each file.
+    """
+    found = events.select(label, F.col("_metadata.file_path").alias("_file")).distinct().collect()
+    out: dict[str | None, list[str]] = {}
+    for name, file in sorted(((r[0], r[1]) for r in found), key=lambda x: (x[0] is not None, x)):
+        out.setdefault(name, []).append(unquote(file))
+    return out
+
+
 def first_events(events: DataFrame, stop: int, key: str = "event_id") -> DataFrame:
     """The first ``stop`` events in key order, themselves in no order."""
     return first_rows(events, stop, key)

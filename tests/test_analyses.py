@@ -163,5 +163,5 @@ def test_stream_resumes_with_new_files(spark, inputs, tmp_path):
 
 def test_run_gives_histogram_and_counters(events):
     results = BENCHMARKS["adl3_jet_pt_eta"].run(events)
-    assert set(results) == {"hist", "cutflow"}
-    assert set(BENCHMARKS["adl6_trijet"].run(events)) == {"hist"}
+    assert set(results) == {"hist", "cutflow", "entries"}
+    assert set(BENCHMARKS["adl6_trijet"].run(events)) == {"hist", "entries"}

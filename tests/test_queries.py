@@ -10,9 +10,12 @@ import pytest
 import __spark_entry__ as entry_points
 from compare import connect, difference, spark_rows
 from conftest import SMALL
+from partonflow.catalog.registry import Inputs, reference_sql, registered
+from partonflow.plans.benchmarks import BENCHMARKS
+from partonflow.plans.dilepton import ZPeak
 
 QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+SQL = reference_sql()
 PYTHON_BY_DESIGN = {"accumulator_udaf", "compiled_udf"}
 ROWS_ONLY = {"run_metrics", "throughput_metrics"}
 
@@ -30,12 +33,10 @@ def plan_of(df) -> str:
 
 
 def test_all_but_the_metrics_have_sql():
-    from partonflow.catalog.registry import registered
-
     assert set(registered()) - set(SQL) == ROWS_ONLY
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(reference_sql()))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SMALL)
     assert difference(df, con, SQL[name]) is None
@@ -82,9 +83,6 @@ def test_scan_reads_only_what_is_used(spark, name):
 @pytest.mark.parametrize(
     ("name", "pushed"),
     [
-        ("adl5_met_dimuon", "GreaterThanOrEqual(nMuon,2)"),
-        ("adl6_trijet", "GreaterThanOrEqual(nJet,3)"),
-        ("zpeak", "EqualTo(nMuon,2)"),
         ("thq_observables", "GreaterThanOrEqual(nJet,2)"),
         ("slice_event_elem", "EqualTo(event_id,1)"),
     ],
@@ -94,6 +92,43 @@ def test_counts_are_pushed_to_the_scan(spark, name, pushed):
     assert pushed in plan
 
 
+@pytest.mark.parametrize(
+    ("analysis", "pushed"),
+    [
+        (BENCHMARKS["adl4_met_2jets"], "GreaterThanOrEqual(nJet,2)"),
+        (BENCHMARKS["adl5_met_dimuon"], "GreaterThanOrEqual(nMuon,2)"),
+        (BENCHMARKS["adl6_trijet"], "GreaterThanOrEqual(nJet,3)"),
+        (ZPeak(), "EqualTo(nMuon,2)"),
+    ],
+)
+def test_counts_are_pushed_where_only_filled_bins_are_wanted(spark, analysis, pushed):
+    """A dense histogram needs every event, to know which categories there are."""
+    assert pushed in plan_of(analysis.histogram(Inputs(spark, SMALL).events_for(analysis)))
+
+
+READ_BY = {
+    "hist_multi_axis": {"Jet": {"pt", "eta", "btag"}},
+    "thq_objects": {"Muon", "Electron"},
+    "thq_loose_mass_veto": {"Muon", "Electron"},
+    "thq_dilepton": {"Muon", "Electron"},
+    "thq_trilepton": {"Muon", "Electron"},
+    "thq_jet_masks": {"Jet"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(READ_BY))
+def test_collections_that_are_not_used_are_not_read(spark, name):
+    schema = plan_of(QUERIES[name](spark, SMALL)).split("ReadSchema: ")[1].split("\n")[0]
+    assert {c for c in ("Jet", "Muon", "Electron") if f"{c}:array" in schema} == set(READ_BY[name])
+    if name == "hist_multi_axis":
+        assert "Jet:array<struct<pt:double,eta:double,btag:double>>" in schema
+
+
+@pytest.mark.parametrize("name", ["adl4_met_2jets", "adl5_met_dimuon", "adl1_met_cutflow", "thq_cutflow", "thq_scaled", "scale_by_weight", "hist_dense"])
+def test_one_scan_also_with_counters_and_empty_categories(spark, name):
+    assert plan_of(QUERIES[name](spark, SMALL)).split("\n(1) ")[0].count("Scan parquet") == 1
+
+
 @pytest.mark.parametrize("name", ["hist_1d", "hist_weighted", "dict_of_results", "thq_observables"])
 def test_histograms_need_one_scan_and_one_shuffle(spark, name):
     plan = plan_of(QUERIES[name](spark, SMALL)).split("\n(1) ")[0]
