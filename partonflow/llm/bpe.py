@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partonflow.llm.common import by_size
+from partonflow.llm.common import by_size, partitions
 
 #: White space of the tokenizers' expressions, and the split of byte-level BPE.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -52,16 +52,19 @@ REACH, CONTRACTION = 12, 4
 
 
 class Vocabulary(dict):
-    """Pretoken -> its ids, packed; encodes what it does not hold and forgets all when it is full."""
+    """Short pretokens and their packed ids: the last ``limit`` new ones, and those of the ``limit`` before that came again."""
 
     def __init__(self, codec: ByteCodec, limit: int):
         super().__init__()
-        self.codec, self.limit = codec, limit
+        self.codec, self.limit, self.old = codec, limit, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.codec.encode_word(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.codec.encode_word(word)
         if len(word) <= 64:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -70,7 +73,7 @@ class Vocabulary(dict):
 class ByteCodec:
     """A byte-level BPE tokenizer file, encoded pretoken by pretoken."""
 
-    def __init__(self, path: str, chunk: int = 2048, cache: int = 800_000):
+    def __init__(self, path: str, chunk: int = 2048, cache: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -233,25 +236,33 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", pie
 
     # Equal texts have equal ids, so pieces are keyed by the digest of their text and encoded once per document.
     long = source.filter(size > piece_chars).withColumn("_key", F.sha2(F.col(text), 256))
-    at = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / piece_chars).cast("int"))
-    pieces = long.select(
-        "_key", F.explode(F.transform(at, lambda i: F.struct(i.alias("i"), F.substring(F.col(text), i * piece_chars + 1, F.lit(piece_chars)).alias("t")))).alias("p")
-    ).select("_key", F.col("p.i").alias("i"), F.col("p.t").alias("t"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, whole in zip(batch["_key"], batch["t"]):
+                for i, at in enumerate(range(0, len(whole), piece_chars)):
+                    yield pd.DataFrame({"_key": [key], "i": [i], "t": [whole[at : at + piece_chars]]})
+
+    pieces = long.dropDuplicates(["_key"]).select("_key", F.col(text).alias("t")).mapInPandas(cut, "_key string, i int, t string")
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = codec(path)
         for batch in batches:
-            made = [tool.part(t) for t in batch["t"]]
-            yield pd.DataFrame({"_key": batch["_key"], "i": batch["i"], "words": [m[0] for m in made], "ids": [m[1] for m in made]})
+            for key, i, t in zip(batch["_key"], batch["i"], batch["t"]):
+                words, made = tool.part(t)
+                sizes = np.array([list(map(len, words)), list(map(len, made))], dtype="<i4").reshape(2, -1)
+                yield pd.DataFrame({"_key": [key], "i": [i], "t": [t], "ids": [b"".join(made)], "sizes": [sizes.tobytes()]})
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         tool = codec(path)
         pdf = pdf.drop_duplicates("i").sort_values("i")
-        parts = [(list(w), list(x)) for w, x in zip(pdf["words"], pdf["ids"], strict=True)]
+        parts = []
+        for t, made, sizes in zip(pdf["t"], pdf["ids"], pdf["sizes"]):
+            ends = np.frombuffer(sizes, "<i4").reshape(2, -1).cumsum(axis=1).tolist()
+            parts.append(tuple([whole[a:b] for a, b in zip([0, *e], e)] for whole, e in zip((t, made), ends)))
         return pd.DataFrame({"_key": pdf["_key"].iloc[:1], ids: [tool.join_tree(parts)]})
 
-    spread = pieces.dropDuplicates(["_key", "i"])
-    encoded = spread.mapInPandas(one, "_key string, i int, words array<string>, ids array<binary>")
+    encoded = pieces.repartition(partitions(docs.sparkSession), "_key", "i").mapInPandas(one, "_key string, i int, t string, ids binary, sizes binary")
     whole_ids = encoded.groupBy("_key").applyInPandas(joined, f"_key string, `{ids}` binary")
     return short.unionByName(long.join(whole_ids, "_key").drop("_key"))
 
