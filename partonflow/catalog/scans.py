@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partonflow.catalog import sql as q
@@ -124,21 +124,44 @@ def num_chunks(inputs: Inputs) -> DataFrame:
     return count_chunks(inputs.events, 1000)
 
 
+#: Events of a chunk where chunks are counted.
+CHUNK = 1000
+
+
+def all_files(inputs: Inputs) -> dict[str, list[str]]:
+    """The files of the event tree under their labels."""
+    return {str(label): paths for label, paths in files_by(inputs.events, "dataset").items()}
+
+
+def as_rows(spark: SparkSession, metrics: dict[str, str] | dict[str, float]) -> DataFrame:
+    pairs = F.create_map(*[F.lit(x) for pair in metrics.items() for x in pair])
+    return spark.range(1).select(F.explode(pairs).alias("metric", "value"))
+
+
 @query("run_metrics")
 def run_metrics(inputs: Inputs) -> DataFrame:
     """Metrics of one run over all events, one row per metric."""
-    _, metrics = run_with_metrics(inputs.spark, JetPt(), f"{inputs.location}/Events", "metrics")
-    rows = [(k, str(v)) for k, v in metrics.items()]
-    return inputs.spark.createDataFrame(rows, "metric string, value string")
+    _, metrics = run_with_metrics(inputs.spark, all_files(inputs), None, JetPt(), CHUNK)
+    return as_rows(inputs.spark, {k: str(v) for k, v in metrics.items()})
+
+
+@query(
+    "run_metrics_exact",
+    q.sql(
+        "SELECT 'entries' AS metric, CAST(count(*) AS VARCHAR) AS value FROM ev UNION ALL "
+        "SELECT 'chunks', CAST(CAST(sum(ceil(n / 1000e0)) AS BIGINT) AS VARCHAR) FROM (SELECT count(*) AS n FROM ev GROUP BY dataset) "
+        "UNION ALL SELECT 'columns', '[''Jet:array<struct<pt:double>>'']'"
+    ),
+)
+def run_metrics_exact(inputs: Inputs) -> DataFrame:
+    """Those metrics of a run that do not depend on the machine."""
+    return run_metrics(inputs).filter(F.col("metric").isin("entries", "chunks", "columns"))
 
 
 @query("throughput_metrics")
 def throughput_metrics(inputs: Inputs) -> DataFrame:
-    _, metrics = run_with_metrics(
-        inputs.spark, MissingEnergy(), f"{inputs.location}/Events", "throughput"
-    )
-    rows = list(throughput(metrics).items())
-    return inputs.spark.createDataFrame(rows, "metric string, value double")
+    _, metrics = run_with_metrics(inputs.spark, all_files(inputs), None, MissingEnergy(), CHUNK)
+    return as_rows(inputs.spark, throughput(metrics))
 
 
 @query(

@@ -29,7 +29,7 @@ def narrowed(schema: StructType, reads: Reads) -> StructType:
 
 def read_paths(
     spark: SparkSession, paths: Sequence[str], reads: Reads | None = None,
-    schema: StructType | None = None,
+    schema: StructType | None = None, options: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Parquet paths, with the collections in ``reads`` limited to the named fields.
 
@@ -37,10 +37,12 @@ def read_paths(
     Declaring the wanted fields as the read schema avoids that, and unlike
     zipping field columns together it costs nothing per row.
     """
-    if not reads:
-        return (spark.read.schema(schema) if schema else spark.read).parquet(*paths)
-    schema = schema or spark.read.parquet(*paths).schema
-    return spark.read.schema(narrowed(schema, reads)).parquet(*paths)
+    reader = spark.read.options(**(options or {}))
+    if reads and not schema:
+        schema = spark.read.parquet(*paths).schema
+    if schema:
+        reader = reader.schema(narrowed(schema, reads) if reads else schema)
+    return reader.parquet(*paths)
 
 
 def read_tree(
@@ -55,6 +57,7 @@ def read_fileset(
     fileset: Mapping[str, Sequence[str]],
     tree: str | None = None,
     reads: Reads | None = None,
+    options: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """All files of all datasets as one DataFrame with a ``dataset`` column.
 
@@ -65,7 +68,10 @@ def read_fileset(
     parts = []
     for name, files in fileset.items():
         paths = [f"{f.rstrip('/')}/{tree}" if tree else f for f in files]
-        parts.append(read_paths(spark, paths, reads).withColumn("dataset", F.lit(name)))
+        found = read_paths(spark, paths, reads, options=options)
+        parts.append(found.withColumn("dataset", F.lit(name)))
+    if not parts:
+        raise ValueError("the fileset names no dataset")
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
