@@ -25,9 +25,9 @@ BASE = f"""WITH cells AS (
   SELECT l_orderkey AS event_id, l_partkey % 6 AS kind, (l_partkey // 6) % 8 AS tower,
     CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents,
     CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty,
-    min(CAST(round(l_discount * 100) AS BIGINT)) AS disc,
-    max(CAST(round(l_tax * 100) AS BIGINT)) AS tax,
-    min(l_partkey) AS part, min(l_suppkey) AS supp, min(l_linenumber) AS line,
+    CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) % 11 AS BIGINT) AS disc,
+    CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) % 9 AS BIGINT) AS tax,
+    CAST(sum(l_partkey) AS BIGINT) AS part, CAST(sum(l_suppkey) AS BIGINT) AS supp, CAST(sum(l_linenumber) AS BIGINT) AS line,
     2 * sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) >= count(*) AS positive
   FROM lineitem GROUP BY 1, 2, 3),
 obj0 AS (

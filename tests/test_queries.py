@@ -16,7 +16,7 @@ from partonflow.plans.dilepton import ZPeak
 
 QUERIES = entry_points.queries()
 SQL = reference_sql()
-PYTHON_BY_DESIGN = {"accumulator_udaf", "compiled_udf"}
+PYTHON_BY_DESIGN = {"accumulator_udaf", "accumulator_state", "compiled_udf", "compiled_udf_lists"}
 ROWS_ONLY = {"run_metrics", "throughput_metrics"}
 
 
