@@ -69,7 +69,7 @@ WHERE a.charge + b.charge = 0""",
     ),
 )
 def agc_dilepton(inputs: Inputs) -> DataFrame:
-    return SameFlavourMass().dense_histogram(inputs.zipped)
+    return SameFlavourMass().dense_histogram(inputs.zipped(**SameFlavourMass.reads))
 
 
 @query(

@@ -330,11 +330,11 @@ TAGGED = "SELECT event_id, pt, btag > 0.5e0 AS tagged, least(floor(pt / 5e0), 20
 )
 def lookup_binned(inputs: Inputs) -> DataFrame:
     """Tagging efficiency per pt bin, measured and then looked up for every jet."""
-    jets = inputs.events.select("dataset", F.explode("Jet").alias("j"))
+    jets = inputs.reading(Jet=("pt", "btag")).select("dataset", F.explode("Jet").alias("j"))
     rows = jets.select("dataset", "j.pt", "j.btag")
-    everything = hist.fill(rows, [TAG_AXIS], ())
-    passed = hist.fill(rows.filter(F.col("btag") > 0.5), [TAG_AXIS], ())
-    table = lookup.efficiency(passed, everything)
+    # Both histograms of the efficiency are one pass, with the decision as a category.
+    both = hist.fill(rows.withColumn("tagged", F.col("btag") > 0.5), [TAG_AXIS], ("tagged",))
+    table = lookup.efficiency_of(both, "tagged")
     corrected = lookup.with_factor(rows, TAG_AXIS, table)
     return corrected.groupBy("dataset").agg(
         F.round(F.sum("factor"), 6).alias("corrected"), F.count(F.lit(1)).alias("jets")

@@ -11,7 +11,7 @@ from partonflow.functions import lists, p4
 from partonflow.operators import records
 from partonflow.plans import single_top as st
 from partonflow.plans.benchmarks import LEPTON_TYPE
-from partonflow.sources.branches import count_mismatches
+from partonflow.sources.branches import mismatched
 
 
 def per_event(events: DataFrame, **columns: Column) -> DataFrame:
@@ -34,21 +34,22 @@ POS = "event_id, CAST(idx AS INTEGER) AS pos"
     q.sql(f"SELECT {POS}, pt, eta, phi, round(e, 6) AS energy, CAST(charge AS INTEGER) AS ch FROM mu"),
 )
 def zip_collections(inputs: Inputs) -> DataFrame:
-    rows = rows_of(inputs.zipped, F.col("muon"), "pt", "eta", "phi", "energy", "ch")
+    fields = ("pt", "eta", "phi", "energy", "ch")
+    rows = rows_of(inputs.zipped(muon=fields), F.col("muon"), *fields)
     return rows.withColumn("energy", F.round("energy", 6))
 
 
 @query("rename_energy", q.sql(f"SELECT {POS}, round(e, 6) AS energy FROM el"))
 def rename_energy(inputs: Inputs) -> DataFrame:
     """The branch ``electron_e`` under its collection name ``energy``."""
-    return rows_of(inputs.zipped, F.col("electron"), "energy").withColumn(
+    return rows_of(inputs.zipped(electron=("energy",)), F.col("electron"), "energy").withColumn(
         "energy", F.round("energy", 6)
     )
 
 
 @query("singleton_record", q.sql("SELECT event_id, met_pt AS pt, met_phi AS phi FROM ev"))
 def singleton_record(inputs: Inputs) -> DataFrame:
-    return inputs.zipped.select("event_id", "met.pt", "met.phi")
+    return inputs.zipped(met=("pt", "phi")).select("event_id", "met.pt", "met.phi")
 
 
 @query(
@@ -62,11 +63,10 @@ def singleton_record(inputs: Inputs) -> DataFrame:
 def counts_check(inputs: Inputs) -> DataFrame:
     """Stored counts against list sizes; the check of all branches must find nothing."""
     flat = inputs.branches
-    bad = count_mismatches(flat).groupBy("dataset").agg(F.count(F.lit(1)).alias("mismatches"))
-    stored = flat.groupBy("dataset").agg(
-        F.count(F.lit(1)).alias("events"), F.sum("numbermuon").alias("stored")
+    wrong = F.when(mismatched(flat.columns), 1)
+    return flat.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("numbermuon").alias("stored"), F.count(wrong).alias("mismatches")
     )
-    return stored.join(bad, "dataset", "left").na.fill(0, ["mismatches"])
 
 
 @query("field_access", q.sql(f"SELECT {POS}, eta FROM jet"))
@@ -79,11 +79,14 @@ def field_access(inputs: Inputs) -> DataFrame:
     q.sql(f"SELECT {POS}, pt, CAST(coll - 1 AS INTEGER) AS flavor FROM obj WHERE coll > 0"),
 )
 def with_field(inputs: Inputs) -> DataFrame:
-    def tagged(name: str, flavor: int) -> DataFrame:
-        items = records.with_field(records.narrow(name, "pt"), "flavor", F.lit(flavor))
-        return rows_of(inputs.events, items, "pt", "flavor")
+    """Muons with flavor 0 and electrons with flavor 1, from one scan."""
 
-    return tagged("Muon", 0).unionByName(tagged("Electron", 1))
+    def tagged(name: str, flavor: int) -> Column:
+        return records.with_field(F.col(name), "flavor", F.lit(flavor))
+
+    events = inputs.reading(Muon=("pt",), Electron=("pt",))
+    rows = events.select("event_id", F.explode(F.array(tagged("Muon", 0), tagged("Electron", 1))).alias("items"))
+    return rows_of(rows, F.col("items"), "pt", "flavor")
 
 
 @query(

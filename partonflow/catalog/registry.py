@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from partonflow.plans.analysis import Analysis
-from partonflow.sources.branches import BRANCH_FIELDS, flatten_branches, zip_collections
-from partonflow.sources.detector import event_location, read_events
+from partonflow.sources.branches import zip_collections
+from partonflow.sources.detector import event_location, read_branches, read_events
 
 
 @dataclass(frozen=True)
@@ -36,11 +36,12 @@ class Inputs:
 
     @property
     def branches(self) -> DataFrame:
-        return flatten_branches(self.reading(**BRANCH_FIELDS))
+        """The events as they are stored in flat branches."""
+        return read_branches(self.spark, self.sf_dir)
 
-    @property
-    def zipped(self) -> DataFrame:
-        return zip_collections(self.branches, ("event_id", "dataset"))
+    def zipped(self, **wanted: Sequence[str]) -> DataFrame:
+        """Collections zipped from the flat branches of these fields."""
+        return zip_collections(self.branches, ("event_id", "dataset"), wanted)
 
 
 Query = Callable[[Inputs], DataFrame]

@@ -17,6 +17,12 @@ def efficiency(passed: DataFrame, everything: DataFrame) -> DataFrame:
     )
 
 
+def efficiency_of(both: DataFrame, passed: str) -> DataFrame:
+    """The same from one histogram with the decision ``passed`` as a category."""
+    good = F.coalesce(F.sum(F.when(F.col(passed), F.col("n"))), F.lit(0))
+    return both.groupBy("bin").agg((good / F.sum("n")).alias("factor"))
+
+
 def with_factor(df: DataFrame, axis: Axis, table: DataFrame, default: float = 1.0) -> DataFrame:
     """Add the ``factor`` of the bin that the column named like the axis falls in.
 

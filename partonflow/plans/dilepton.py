@@ -43,6 +43,7 @@ class SameFlavourMass(Analysis):
 
     axes = (Axis("dilep_mass", 50, 0, 150),)
     by = ("lepton",)
+    reads = {c: ("pt", "eta", "phi", "energy", "ch") for c in ("muon", "electron")}
 
     def prepare(self, events: DataFrame) -> DataFrame:
         """Two rows per event, one of each kind."""

@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,15 @@ def _members(columns: list[str], collection: str) -> dict[str, str]:
     return found
 
 
+def _chosen(fields: dict[str, str], name: str, wanted: Mapping[str, Sequence[str]] | None) -> dict[str, str]:
+    if wanted is None:
+        return fields
+    missing = set(wanted[name]) - set(fields)
+    if missing:
+        raise ValueError(f"{name} has no branch for {sorted(missing)}")
+    return {f: fields[f] for f in wanted[name]}
+
+
 def count_column(collection: str) -> str:
     return SPECIAL_COUNTS.get(collection, f"{COUNT_PREFIX}{collection}")
 
@@ -78,16 +89,23 @@ def list_collections(columns: list[str]) -> list[str]:
     return counted + special
 
 
-def zip_collections(flat: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def zip_collections(
+    flat: DataFrame, keep: tuple[str, ...] = (), wanted: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
     """Branches zipped into one list of structs per collection.
 
+    ``wanted`` names the collections and records to make, and their fields; no
+    other branch is read.  A zipped list has all its branches read, whatever is used of it.
+
     Lists of one collection must be equally long: an event where they are not
     is an error.  :func:`count_mismatches` reports such events.
     """
     names = flat.columns
     out: list[Column] = [F.col(k) for k in keep]
     for collection in list_collections(names):
-        fields = _members(names, collection)
+        if wanted is not None and collection not in wanted:
+            continue
+        fields = _chosen(_members(names, collection), collection, wanted)
         zipped = F.arrays_zip(*[F.col(c).alias(f) for f, c in fields.items()])
         first, *others = fields.values()
         equal = F.lit(True)
@@ -97,17 +115,22 @@ def zip_collections(flat: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         out.append(F.when(equal, zipped).otherwise(unequal).alias(collection))
     for record in SINGLE_RECORDS:
         fields = _members(names, record)
-        if fields:
+        if fields and (wanted is None or record in wanted):
+            fields = _chosen(fields, record, wanted)
             out.append(F.struct(*[F.col(c).alias(f) for f, c in fields.items()]).alias(record))
     return flat.select(*out)
 
 
-def count_mismatches(flat: DataFrame) -> DataFrame:
-    """Events where any branch is longer or shorter than the stored count."""
-    names = flat.columns
+def mismatched(names: list[str]) -> Column:
+    """Whether any branch of an event is longer or shorter than the stored count."""
     wrong = F.lit(False)
     for collection in list_collections(names):
         count = F.col(count_column(collection))
         for column in _members(names, collection).values():
             wrong = wrong | (F.size(column) != count)
-    return flat.filter(wrong)
+    return wrong
+
+
+def count_mismatches(flat: DataFrame) -> DataFrame:
+    """Events where any branch is longer or shorter than the stored count."""
+    return flat.filter(mismatched(flat.columns))

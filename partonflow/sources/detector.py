@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 from threading import Lock
 
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from partonflow.sources.branches import BRANCH_FIELDS, flatten_branches
 from partonflow.sources.fileset import Reads, read_paths
 from partonflow.sources.scratch import scratch_root
 
@@ -211,11 +213,32 @@ def event_location(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, _fingerprint(spark, inputs))
     with _writing:
         if key not in _written:
-            _written[key] = _published(spark, f"{scratch_root(spark)}/events-{key[1]}", inputs)
+
+            def events() -> DataFrame:
+                orders, lineitem = (spark.read.parquet(p) for p in inputs)
+                return assemble(orders, lineitem)
+
+            _written[key] = _published(spark, f"{scratch_root(spark)}/events-{key[1]}", "Events", events)
+        return _written[key]
+
+
+def branch_location(spark: SparkSession, sf_dir: str) -> str:
+    """Location holding the ``Branches`` tree: the same events as flat branches, one column each."""
+    events = read_events(spark, sf_dir, BRANCH_FIELDS)
+    location = event_location(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, f"{location}/flat")
+    with _writing:
+        if key not in _written:
+            _written[key] = _published(spark, f"{location}-flat", "Branches", lambda: flatten_branches(events))
         return _written[key]
 
 
-def _published(spark: SparkSession, folder: str, inputs: list[str]) -> str:
+def read_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat branches; a scan reads those that a query names."""
+    return read_paths(spark, [f"{branch_location(spark, sf_dir)}/Branches"])
+
+
+def _published(spark: SparkSession, folder: str, tree: str, make: Callable[[], DataFrame]) -> str:
     """Location of the tree under ``folder`` that any application has published, or a new one.
 
     A tree is written under a name of its own and then entered in a small table;
@@ -232,12 +255,11 @@ def _published(spark: SparkSession, folder: str, inputs: list[str]) -> str:
         return names.agg(F.min("name")).first()[0]
 
     name = entered()
-    if name is None or not _readable(spark, f"{folder}/{name}/Events"):
+    if name is None or not _readable(spark, f"{folder}/{name}/{tree}"):
         name = uuid.uuid4().hex
-        orders, lineitem = (spark.read.parquet(p) for p in inputs)
         # Few files for each dataset; a large dataset is split.
-        tree = assemble(orders, lineitem).hint("rebalance", "dataset")
-        tree.write.partitionBy("dataset").parquet(f"{folder}/{name}/Events")
+        rows = make().hint("rebalance", "dataset")
+        rows.write.partitionBy("dataset").parquet(f"{folder}/{name}/{tree}")
         entry = spark.range(1).select(F.lit(name).alias("name"))
         entry.write.mode("overwrite").parquet(f"{folder}/published")
     return f"{folder}/{name}"

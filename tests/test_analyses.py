@@ -161,6 +161,31 @@ def test_stream_resumes_with_new_files(spark, inputs, tmp_path):
     assert seen == events.count()
 
 
+def test_totals_of_a_stream_are_bounded_and_survive_a_kill(spark, inputs, tmp_path, monkeypatch):
+    from partonflow.streaming import running
+
+    analysis, events = BENCHMARKS["adl1_met"], inputs.events
+    source, out, state = (f"{tmp_path}/{n}" for n in ("in", "out", "state"))
+    events.repartition(6).write.parquet(source)
+    real = running.forget_totals
+
+    def killed(session, folder, first):
+        if first >= 3:
+            raise RuntimeError("killed between writing a total and removing the old ones")
+        real(session, folder, first)
+
+    monkeypatch.setattr(running, "forget_totals", killed)
+    with pytest.raises(Exception, match="killed"):
+        running.final_histogram(spark, running.event_stream(spark, source, events.schema, 1), analysis, out, state)
+    monkeypatch.setattr(running, "forget_totals", real)
+    assert running.last_total(spark, out).count() > 0
+    total = running.final_histogram(spark, running.event_stream(spark, source, events.schema, 1), analysis, out, state)
+    assert sorted(total.collect()) == sorted(analysis.histogram(events).collect())
+    assert len(list((tmp_path / "out").glob("batch=*"))) == 2
+    with pytest.raises(ValueError, match="keep"):
+        running.start_running_histogram(events, analysis, out, state, keep=1)
+
+
 def test_run_gives_histogram_and_counters(events):
     results = BENCHMARKS["adl3_jet_pt_eta"].run(events)
     assert set(results) == {"hist", "cutflow", "entries"}

@@ -72,6 +72,10 @@ READS = {
     "ttbar_ht": "struct<Jet:array<struct<pt:double>>>",
     "zpeak": "struct<nMuon:int,Muon:array<struct<pt:double,eta:double,phi:double,mass:double,charge:int>>>",
     "scan_columns": "struct<event_id:bigint,Muon:array<struct<pt:double>>>",
+    "scan_select_query": "struct<event_id:bigint,jet_pt:array<double>>",
+    "rename_energy": "struct<event_id:bigint,electron_e:array<double>>",
+    "singleton_record": "struct<event_id:bigint,met_pt:double,met_phi:double>",
+    "compiled_udf": "struct<event_id:bigint,MET:struct<pt:double,phi:double>,Muon:array<struct<pt:double,phi:double>>>",
 }
 
 
@@ -124,7 +128,13 @@ def test_collections_that_are_not_used_are_not_read(spark, name):
         assert "Jet:array<struct<pt:double,eta:double,btag:double>>" in schema
 
 
-@pytest.mark.parametrize("name", ["adl4_met_2jets", "adl5_met_dimuon", "adl1_met_cutflow", "thq_cutflow", "thq_scaled", "scale_by_weight", "hist_dense"])
+def test_flat_branches_are_read_one_by_one(spark):
+    schema = plan_of(QUERIES["agc_dilepton"](spark, SMALL)).split("ReadSchema: ")[1].split("\n")[0]
+    read = {part.split(":")[0] for part in schema.removeprefix("struct<").split(",")}
+    assert read == {f"{c}_{f}" for c in ("muon", "electron") for f in ("pt", "eta", "phi", "e", "ch")}
+
+
+@pytest.mark.parametrize("name", ["with_field", "counts_check", "adl4_met_2jets", "adl5_met_dimuon", "adl1_met_cutflow", "thq_cutflow", "thq_scaled", "scale_by_weight", "hist_dense"])
 def test_one_scan_also_with_counters_and_empty_categories(spark, name):
     assert plan_of(QUERIES[name](spark, SMALL)).split("\n(1) ")[0].count("Scan parquet") == 1
 
