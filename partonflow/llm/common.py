@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote and nothing reads any more, and let Spark give up their shuffle files.
+
+    Shuffle files go when the driver's JVM finds that no plan refers to them, which may be long after.
+    """
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(folder))
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        released(tables[0].sparkSession)
+
+
+def released(spark: SparkSession) -> None:
+    """Have the driver look for plans that are no longer referred to; Spark then removes their shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; NULL ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

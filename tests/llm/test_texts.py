@@ -217,3 +217,47 @@ def test_html_blocks_and_runs(spark):
 def test_suffix_array():
     tokens = np.array([3, 1, 2, 3, 1, 2, 9])
     assert html_extract.suffix_array(tokens).tolist() == sorted(range(7), key=lambda i: tokens[i:].tolist())
+
+
+def test_line_dedup_of_clashing_names_null_ids_and_nothing(spark):
+    line = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(None, line, 1, "a"), (None, f"{line} lambda", 2, "b"), (3, f"{line}\nother words here", 3, "c"), (3, f"{line}\nother words here", 4, "d"), (4, None, 5, "e"), (5, "", 6, "f")]
+    for names in ("gone long, _GONE string", "_t long, _doc string"):
+        docs = spark.createDataFrame(rows, f"doc_id long, text string, {names}")
+        got = line_dedup.dedup_lines(docs)
+        assert got.columns == docs.columns
+        texts = {r[2]: r["text"] for r in got.collect()}
+        # The two rows without an id are one document of two first lines; the shorter text may stand on either.
+        assert sorted([texts[1], texts[2]]) in (sorted(["", f"{line} lambda"]), sorted([line, ""]), [line, f"{line} lambda"])
+        assert texts[3] == texts[4] == "other words here" and texts[5] is None and texts[6] == ""
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_near_lines_without_ids_are_one_document(spark):
+    """Lines at different places of rows with NULL id are compared like those of one document."""
+    line = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(None, line), (None, f"something else entirely\n{line} lambda")], "doc_id long, text string")
+    assert sorted(r["text"] for r in line_dedup.dedup_lines(docs).collect()) == [line, "something else entirely"]
+
+
+def test_line_dedup_of_many_near_copies(spark):
+    """A line with hundreds of near copies, and lines that share one word, against brute force."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(24)]
+    texts = []
+    for _ in range(150):
+        mine = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 6])):
+            mine[rng.randrange(24)] = f"x{rng.randrange(400)}"
+        texts.append("\n".join([" ".join(mine), f"common {rng.randrange(60)} {rng.randrange(60)} {rng.randrange(60)} {rng.randrange(60)}"]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    seen, want = [], {}
+    for k, text in enumerate(texts):
+        kept = []
+        for line in text.split("\n"):
+            words = frozenset(line.split())
+            if not any(1000 * len(words & s) >= 800 * len(words | s) for s in seen):
+                kept.append(line)
+            seen.append(words)
+        want[k] = "\n".join(kept)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == want
