@@ -26,6 +26,7 @@ together; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,21 +65,31 @@ def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray, size: int = COORDINATES) -> np.ndarray:
-    """Fast similarity sketch of a non-empty set."""
-    out = np.full(size, np.uint64(2**64 - 1))
-    for t in range(2 * size):
-        h = mix64(hashes + np.uint64((t + 1) * 0xD1B54A32D192ED03 % 2**64))
-        if t < size:
-            at = ((h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.intp)
-        else:
-            at = np.full(len(h), t - size)
-        value = np.uint64(t << 48) | mix64(h) >> np.uint64(16)
-        order = np.lexsort((value, at))
-        at, value = at[order], value[order]
-        first = np.r_[True, at[1:] != at[:-1]]
-        out[at[first]] = np.minimum(out[at[first]], value[first])
-        if out.max() != np.uint64(2**64 - 1):
-            break
+    """Fast similarity sketch of a non-empty set.
+
+    Values carry their round in front, so several rounds can be taken at once: a
+    bin that an earlier round fills keeps that value.
+    """
+    empty, n = np.uint64(2**64 - 1), len(hashes)
+    out = np.full(size, empty)
+
+    def placed(rounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, value) of every shingle in every round, one row per round."""
+        h = mix64(hashes[None, :] + ((rounds + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))[:, None])
+        return h, (rounds << np.uint64(48))[:, None] | mix64(h) >> np.uint64(16)
+
+    t, left = 0, size
+    while t < size and left:
+        # As many rounds as should fill what is left, in bounded memory.
+        count = min(math.ceil(size * (math.log(left) + 1) / n), max(1, (1 << 14) // n), size - t)
+        h, value = placed(np.arange(t, t + count, dtype=np.uint64))
+        bins = ((h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.intp)
+        np.minimum.at(out, bins.ravel(), value.ravel())
+        t, left = t + count, int((out == empty).sum())
+    # The last rounds fill one bin each.
+    for some in np.array_split(np.flatnonzero(out == empty), max(1, left * n >> 14)):
+        if len(some):
+            out[some] = placed(some.astype(np.uint64) + np.uint64(size))[1].min(axis=1)
     return out
 
 
@@ -152,13 +163,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             chosen = labelled.groupBy("key").agg(F.max(F.struct("weight", "cls"))["cls"].alias("hub"))
         else:
             # The members outside the largest component of a bucket that have not been hubs yet; more of them each round.
+            # A class is a hub in all its open buckets at once, so what is done is known by class.
             counts = labelled.groupBy("key", "component").agg(F.count("*").alias("c"))
-            largest = counts.groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("largest"))
-            loose = labelled.join(largest, "key").filter("component != largest").select("key", "cls")
-            loose = stored(loose.join(done.withColumnRenamed("hub", "cls"), ["key", "cls"], "left_anti"), "loose")
-            number = loose.groupBy("key").agg(F.count("*").alias("number"))
+            top = F.max(F.struct("c", "component"))
+            largest = counts.groupBy("key").agg(top["component"].alias("largest"), (F.sum("c") - top["c"]).alias("number"))
+            outside = labelled.join(largest, "key").filter("component != largest").groupBy("cls").agg(F.max("number").alias("number"))
+            loose = stored(outside if done is None else outside.join(done, "cls", "left_anti"), "loose")
             place = F.pmod(F.xxhash64("cls"), F.lit(1 << 20))
-            chosen = loose.join(number, "key").filter(place * F.col("number") < F.lit(hubs << 20)).select("key", F.col("cls").alias("hub"))
+            hub = stored(loose.filter(place * F.col("number") < F.lit(hubs << 20)).select("cls"), "hub")
+            chosen = labelled.join(hub, "cls").select("key", F.col("cls").alias("hub"))
         chosen = stored(chosen, "hubs")
         if narrow and chosen.limit(1).count():
             # First each member meets one hub only, the one of most of its buckets: large groups grow together
@@ -180,7 +193,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 break
             hubs *= 4
             continue
-        done = chosen if done is None else stored(done.union(chosen), "done")
+        if hubs > 1:
+            done = hub if done is None else stored(done.union(hub), "done")
         pairs = _meetings(labelled, chosen, signed, percent).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
         linked = stored(_verified(pairs, signed, full, percent), "links")
         if linked.limit(1).count():
