@@ -3,8 +3,10 @@
 A text becomes a TF-IDF vector of its letter n-grams (one to three, hashed),
 normalised to length one.  Every language has several centroids, found by
 spherical k-means over its training vectors; a text belongs to the language of
-the centroid with the largest cosine.  It is rejected if that cosine is far
-below what the centroid's own training texts reach, or if it has no letter.
+the centroid with the largest cosine.  It is rejected if that cosine is below what
+nearly all training texts of that language reach when they are cut to its length,
+or if it has no letter.  The floor is low for a few words and near the training
+texts' own level from CUTS[-1] characters on.
 
 Fitting uses at most about ``per_language`` texts of each language, chosen by a
 hash of their id; prediction covers every whole text and takes nothing but text.
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from partonflow.llm.common import mix64
 
 UNKNOWN = "und"
+#: Lengths in characters at which the cosines of training texts are measured, for the floor of rejection.
+CUTS = (16, 32, 64, 128, 256, 512)
 _letter = re.compile(r"[^\W\d_]")
 
 
@@ -59,8 +63,9 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 class Model:
     idf: np.ndarray
     centroids: np.ndarray
-    floor: np.ndarray
+    floor: np.ndarray  # a row per centroid: the least cosine by number of n-grams, at the points ``sizes``
     languages: list[str]
+    sizes: np.ndarray
 
     def vector(self, counts: np.ndarray) -> np.ndarray:
         return _unit(np.log1p(counts) * self.idf)
@@ -72,7 +77,8 @@ class Model:
             return UNKNOWN, 0.0, True
         cosines = self.centroids @ self.vector(counts)
         best = int(np.argmax(cosines))
-        return self.languages[best], float(np.clip(cosines[best], 0, 1)), bool(cosines[best] < self.floor[best])
+        least = np.interp(np.log(counts.sum()), np.log(self.sizes), self.floor[best])
+        return self.languages[best], float(np.clip(cosines[best], 0, 1)), bool(cosines[best] < least)
 
 
 def _kmeans(rows: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +97,7 @@ def _kmeans(rows: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.
 
 def fit(
     docs: DataFrame, training: Column | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
-    per_language: int = 400, clusters: int = 4, dims: int = 2048, slack: float = 0.2,
+    per_language: int = 400, clusters: int = 4, dims: int = 2048, slack: float = 0.8,
 ) -> Model:
     """Centroids from at most about ``per_language`` training texts of each language."""
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -99,36 +105,63 @@ def fit(
         labelled = labelled.filter(training)
     counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang).alias("lang")).count().collect()}
     if not counts:
-        return Model(np.zeros(dims, np.float32), np.zeros((0, dims), np.float32), np.zeros(0), [])
+        return Model(np.zeros(dims, np.float32), np.zeros((0, dims), np.float32), np.zeros((0, 1)), [], np.ones(1))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
     place = F.pmod(F.xxhash64(F.lit("fit"), doc_id), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = labelled.filter(place < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [(k, v.tobytes()) for k, t in zip(batch["lang"], batch["text"], strict=True) if (v := ngram_counts(t, dims)) is not None]
-            yield pd.DataFrame(made, columns=["lang", "v"])
-
-    rows = sorted((r[0], bytes(r[1])) for r in sample.mapInPandas(counted, "lang string, v binary").collect())
+            made = []
+            for k, t in zip(batch["lang"], batch["text"], strict=True):
+                whole = ngram_counts(t, dims)
+                if whole is not None:
+                    made.append((k, 0, whole.tobytes()))
+                    cut = [(c, ngram_counts(t[:c], dims)) for c in CUTS if c < len(t)]
+                    # Few cells of a short piece are filled.
+                    made += [(k, c, np.stack([(at := np.flatnonzero(v)), v[at]]).astype("<u2").tobytes()) for c, v in cut if v is not None]
+            if made:
+                yield pd.DataFrame(made, columns=["lang", "cut", "v"])
+
+    found = sorted((r[0], r[1], bytes(r[2])) for r in sample.mapInPandas(counted, "lang string, cut int, v binary").collect())
+    rows = [(name, v) for name, cut, v in found if not cut]
     if not rows:
-        return Model(np.zeros(dims, np.float32), np.zeros((0, dims), np.float32), np.zeros(0), [])
+        return Model(np.zeros(dims, np.float32), np.zeros((0, dims), np.float32), np.zeros((0, 1)), [], np.ones(1))
     names = np.array([r[0] for r in rows])
     matrix = np.stack([np.frombuffer(r[1], np.float32) for r in rows])
     idf = np.log((1 + len(matrix)) / (1 + (matrix > 0).sum(0))).astype(np.float32) + np.float32(0.1)
     matrix = _unit(np.log1p(matrix) * idf)
+    pieces: dict[tuple[str, int], list[np.ndarray]] = {}
+    for name, cut, v in found:
+        if cut:
+            at, n = np.frombuffer(v, "<u2").reshape(2, -1)
+            piece = np.zeros(dims, np.float32)
+            piece[at] = n
+            pieces.setdefault((name, cut), []).append(piece)
+
+    def floor(name: str, own: np.ndarray) -> list[float]:
+        """``slack`` times what 99 % of the pieces of each length reach; rising with the length."""
+        out = [0.0]  # a single character tells nothing
+        for cut in CUTS:
+            some = pieces.get((name, cut))
+            cosines = (_unit(np.log1p(np.stack(some)) * idf) @ own.T).max(1) if some else np.zeros(1)
+            out.append(slack * float(np.quantile(cosines, 0.01)))
+        return np.maximum.accumulate(out).tolist()
+
     centroids, floors, languages = [], [], []
     for name in sorted(counts):
         own = matrix[names == name]
         if not len(own):
             continue
-        found, owner = _kmeans(own, clusters)
-        for c in range(len(found)):
+        means, owner = _kmeans(own, clusters)
+        least = floor(name, means)
+        for c in range(len(means)):
             if (owner == c).any():
-                centroids.append(found[c])
-                # Distance-based rejection: ``slack`` times the least similar training texts of the language.
-                floors.append(slack * float(np.quantile((own @ found.T).max(1), 0.01)))
+                centroids.append(means[c])
+                floors.append(least)
                 languages.append(name)
-    return Model(idf, np.stack(centroids).astype(np.float32), np.array(floors), languages)
+    # A text of n characters has about three times as many n-grams.
+    return Model(idf, np.stack(centroids).astype(np.float32), np.array(floors), languages, np.array([3.0 * c for c in (1, *CUTS)]))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
