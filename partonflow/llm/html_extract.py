@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partonflow.llm.common import mix64, stored
+from partonflow.llm.common import mix64, stored, unused
 
 #: Tokens of the shortest repeated run that counts as boilerplate.
 RUN = 6
@@ -230,8 +230,21 @@ def repeated_runs(streams: dict[int, list[np.ndarray]]) -> list[tuple[int, int,
     return list(zip(hashes[first[whole]].tolist(), low[whole].tolist(), high[whole].tolist(), strict=True))
 
 
+#: Columns that the steps below add.
+PRIVATE = {"_host", "_page", "_main", "_parts", "_row", "_covered", "host", "run", "row"}
+
+
 def extract(pages: DataFrame, url: str = "url", source: str = "html", text: str = "text") -> DataFrame:
-    """``pages`` with the main text of ``source``."""
+    """``pages`` with the main text of ``source``.
+
+    A column of the input that has the name ``text``, in whatever case, is replaced; all others pass through.
+    """
+    own = {c: unused(f"_own_{c}", pages.columns) for c in pages.columns if c.lower() in PRIVATE and c not in (url, source)}
+    found = _extract(pages.withColumnsRenamed(own), url, source, text)
+    return found.withColumnsRenamed({there: c for c, there in own.items()})
+
+
+def _extract(pages: DataFrame, url: str, source: str, text: str) -> DataFrame:
     host = F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit(""))
     # A page is known by a hash of its content, so that a repeated row is no other page.
     keyed = pages.drop(text).withColumn("_host", host).withColumn("_page", F.xxhash64(F.col(url), F.col(source)))

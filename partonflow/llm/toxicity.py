@@ -131,11 +131,14 @@ def fit(
                 seen[y].update({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} if y == 0 else ())
                 seen[y]["#"] += 1
         names = list(seen[0].keys() | seen[1].keys())
-        yield pd.DataFrame({"term": names, "clean": [seen[0][n] for n in names], "dirty": [seen[1][n] for n in names]})
+        if names:  # a frame without rows would have no types
+            yield pd.DataFrame({"term": names, "clean": [seen[0][n] for n in names], "dirty": [seen[1][n] for n in names]})
 
     sampled = joined.repartition(8)
     table = sampled.mapInPandas(counted, "term string, clean bigint, dirty bigint").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("dirty").alias("dirty"))
     total = table.filter("term = '#'").select("clean", "dirty").first()
+    if total is None:
+        return Lexicon()
     clean, dirty = max(1, total[0]), max(1, total[1])
     ratio = (F.col("dirty") + 0.25) / dirty / ((F.col("clean") + 0.5) / clean)
     found = table.filter((F.col("dirty") >= max(least, dirty // 500)) & (ratio >= odds) & (F.col("term") != "#"))
@@ -160,7 +163,8 @@ def fit(
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = lexicon.automaton()
         for batch in batches:
-            yield pd.DataFrame({"x": [lexicon.raw(machine, folded_words(t)) for t in batch["text"]], "y": batch["toxic"]})
+            if len(batch):
+                yield pd.DataFrame({"x": [lexicon.raw(machine, folded_words(t)) for t in batch["text"]], "y": batch["toxic"]})
 
     points = np.array(sorted(tuple(r) for r in sampled.mapInPandas(measured, "x double, y int").collect()))
     lexicon.slope, lexicon.shift = _logistic(points[:, 0], points[:, 1])

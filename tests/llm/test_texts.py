@@ -185,6 +185,11 @@ def test_language_id_on_held_out(spark, odd):
     )
     right, total = rows.filter("held_out AND lang IS NOT NULL").agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
     assert right / total > 0.97
+    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(clean)
+    assert langid.predict(clean, model).filter("rejected AND lang IS NOT NULL").count() <= 2
+    foreign = ["Suomi on tasavalta Pohjois-Euroopassa ja sen pääkaupunki on Helsinki.", "Polska jest państwem w Europie Środkowej.", "Россия является крупнейшим государством мира.", "日本は東アジアに位置する島国である。"]
+    assert all(model.predict(t * k)[2] for t in foreign for k in (1, 5, 50))
     model = langid.fit(odd)
     got = {r["doc_id"]: r for r in langid.predict(odd, model).collect()}
     assert all(got[k]["lang_pred"] == "und" and got[k]["rejected"] and got[k]["score"] == 0 for k in (0, 1, 2))
