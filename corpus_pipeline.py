@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partonflow.llm import langid, line_dedup, minhash, packing, toxicity
-from partonflow.llm.common import stored
+from partonflow.llm.common import stored, unused
 
 
 def _judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], keep: str, made: tuple[str, ...]) -> DataFrame:
@@ -42,10 +42,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates, and all documents without words."""
+    """The document with the smallest id of each group of near duplicates, and all documents without words.
+
+    Of rows that repeat an id and a text one stays, also where the id is NULL.  Rows
+    with NULL ids and texts that are only similar stay, as there is no smallest id.
+    """
     found = minhash.near_duplicates(docs, percent=80)
     gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    key, again = unused("_text", docs.columns), unused("_id", docs.columns)
+    keyed = left.withColumn(key, F.xxhash64("text"))
+    twice = docs.groupBy(F.col("doc_id").alias(again), F.xxhash64("text").alias(f"{key}_again")).count().filter("count > 1").drop("count")
+    same = keyed["doc_id"].eqNullSafe(twice[again]) & (keyed[key] == twice[f"{key}_again"])
+    single = keyed.join(twice, same, "left_anti")
+    return single.unionByName(keyed.join(twice, same, "left_semi").dropDuplicates(["doc_id", key])).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
