@@ -17,7 +17,7 @@ from partonflow.streaming.running import event_stream, final_histogram
 
 
 #: Files of one batch.  A batch should be some minutes of work of the cluster.
-FILES_PER_BATCH = 16
+FILES_PER_BATCH = 64
 
 
 def _drain(inputs: Inputs, analysis: Analysis, name: str, label: dict | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from conftest import SMALL
@@ -46,6 +48,46 @@ def test_hot_order_stays_bounded(spark, events):
     assert others.exceptAll(before).isEmpty()
 
 
+def test_lines_are_dealt_once(spark, monkeypatch):
+    """Lines, and the counts of their buckets, are all that is dealt, and orders; a crowded order is combined first."""
+    orders, lineitem = tables(spark)
+
+    def dealt(df):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        try:
+            return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+    plain = detector.assemble(orders, lineitem)
+    assert dealt(plain) == 2
+    monkeypatch.setattr(detector, "CROWD", 20)
+    hot = lineitem.unionByName(lineitem.withColumn("l_orderkey", F.lit(1)))
+    assert len(detector._crowded(hot)[1]) >= 1
+    combined = detector.assemble(orders, hot)
+    assert dealt(combined) == 3
+    monkeypatch.undo()
+    key = ["event_id", "Jet", "Muon", "Electron"]
+    plain = detector.assemble(orders, hot)
+    assert combined.select(key).exceptAll(plain.select(key)).isEmpty()
+    assert detector.assemble(orders, lineitem.limit(0)).filter("nJet > 0").isEmpty()
+
+
+def test_branches_are_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    for name, table in zip(("orders", "lineitem"), tables(spark), strict=True):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    plans, by = [], DataFrameWriter.partitionBy
+
+    def spied(self, *columns):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return by(self, *columns)
+
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", spied)
+    assert detector.read_branches(spark, str(tmp_path)).count() == 1500
+    # Events are dealt by order, and never by dataset.
+    assert len(plans) == 2 and "dataset" not in "".join(re.findall("Exchange [a-z]*\\([^)]*", plans[0])) and "Exchange" not in plans[1]
+
+
 def test_assembly_does_not_depend_on_line_order(spark):
     orders, lineitem = tables(spark)
     a = detector.assemble(orders, lineitem)
