@@ -266,3 +266,16 @@ def test_line_dedup_of_many_near_copies(spark):
             seen.append(words)
         want[k] = "\n".join(kept)
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == want
+
+
+def test_rarity_is_counted_in_all_documents(spark, monkeypatch):
+    seen, table = [], line_dedup.rarity_table
+
+    def counted(words):
+        seen.append(words.count())
+        return table(words)
+
+    monkeypatch.setattr(line_dedup, "rarity_table", counted)
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('only ', id) AS text")
+    assert line_dedup.removed_lines(docs).count() == 0
+    assert seen == [40_000]
