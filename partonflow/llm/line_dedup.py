@@ -16,8 +16,10 @@ more to it, whether that earlier line itself stays or not.
   again as a later line.  Only the rest meets all earlier entries of its words, again
   the nearest first.  So a large group of near copies mostly costs its size, not its square.
 * A pair must pass the length and the positional filter, and the Hamming
-  distance of 64 parity bits of the two sets, which is never larger than their
-  difference, before the sets themselves are compared.
+  distance of parity bits of the two sets, which is never larger than their
+  difference, before the sets themselves are compared.  The index has 64 of them for a short
+  line, and up to 256 for a long one, which may differ in more words than 64 bits can tell
+  from chance; a pair is compared in as many bits as both its lines have.
 
 Built-in functions only.  Texts do not move but those of documents with a pair
 to verify or a line to remove.  Tables are dropped, and shuffle files given up, as
@@ -37,6 +39,10 @@ from pyspark.sql import functions as F
 from partonflow.llm.common import WORD_SPLIT, dropped, partitions, stored, unused
 
 SLOT_BITS, PER_LONG = 18, 16
+#: Lines of more words than these have 128 and 256 parity bits, others 64.
+LONGER = (48, 112)
+BITS = ("parity", "half", "first", "second")
+MEMBER = ("entry", "n", "at", *BITS)
 #: Parity bits of a set where pairs are verified.
 WIDE = 256
 
@@ -109,11 +115,10 @@ def _needed(n: Column, threshold: float) -> Column:
     return F.floor((n * round(threshold * 1000) + 999) / 1000).cast("int")
 
 
-def _may_match(a: str, b: str, threshold: float) -> Column:
-    """Length, positional and parity filter of two entries."""
+def _may_match(threshold: float) -> Column:
+    """Length, positional and parity filter of two entries, their columns called a_ and b_."""
     t = round(threshold * 1000)
-    na, nb, pa, pb = (F.col(f"{x}.{y}") for y in ("n", "at") for x in (a, b))
-    na, nb, pa, pb = (x.cast("long") for x in (na, nb, pa, pb))
+    na, nb, pa, pb = (F.col(f"{x}_{y}").cast("long") for y in ("n", "at") for x in ("a", "b"))
     both = na + nb
     # The smallest overlap that reaches the threshold; here a common word is at pa and pb, and all before differ or count less.
     overlap = F.ceil(both * t / (1000 + t) - 1e-9)
@@ -122,10 +127,42 @@ def _may_match(a: str, b: str, threshold: float) -> Column:
         (na * 1000 >= nb * t)
         & (nb * 1000 >= na * t)
         & (reach >= overlap)
-        & (F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity"))) <= both - 2 * overlap)
+        & (_differing(0) <= both - 2 * overlap)
+        & (_far() <= both - 2 * overlap)
     )
 
 
+def _parity(words: str) -> list[Column]:
+    """The columns BITS of a set: parity of 64 slots; of long sets, of the first 64 of 128, and of the first and second 64 of 256."""
+
+    def bits(parts: int, part: int) -> Column:
+        one = lambda w: _shift("shiftleft", F.lit(1).cast("long"), w % 64)
+        mine = lambda w: one(w) if parts == 1 else F.when(F.shiftright(w, 6) % parts == part, one(w)).otherwise(F.lit(0).cast("long"))
+        return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(mine(w)))
+
+    longer = [F.when(F.size(words) > n, x).otherwise(F.lit(0).cast("long")) for n, x in ((LONGER[0], bits(2, 0)), (LONGER[1], bits(4, 0)), (LONGER[1], bits(4, 1)))]
+    return [x.alias(name) for x, name in zip([bits(1, 0), *longer], BITS, strict=True)]
+
+
+def _differing(level: int) -> Column:
+    """Differing bits of a_ and b_, of 64, 128 or 256: what is not kept of a set is what its kept part differs in from the whole."""
+    whole, half, first, second = (F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}")) for x in BITS)
+    rest = whole.bitwiseXOR(half)
+    longs = ([whole], [half, rest], [first, half.bitwiseXOR(first), second, rest.bitwiseXOR(second)])[level]
+    return sum((F.bit_count(x) for x in longs[1:]), F.bit_count(longs[0]))
+
+
+def _far() -> Column:
+    """Differing bits of a_ and b_, of as many as both have."""
+    least = F.least("a_n", "b_n")
+    return F.when(least > LONGER[1], _differing(2)).when(least > LONGER[0], _differing(1)).otherwise(_differing(0))
+
+
+def _side(name: str, of: str = "") -> list[Column]:
+    """The columns MEMBER of an entry, in front of them ``name``; never NULL, which stored columns may be for all that Spark knows."""
+    return [F.coalesce(F.col(of + c), F.lit(0)).alias(f"{name}_{c}") for c in MEMBER]
+
+
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """(doc, hash, pos) of the lines to remove; ``hash`` is xxhash64 of the document's text, ``pos`` from 0."""
     source = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).filter("text IS NOT NULL")
@@ -136,36 +173,34 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     )
     n = F.size("words")
     prefix = F.slice("words", F.lit(1), n - _needed(n, threshold) + 1)
-    parity = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(_shift("shiftleft", F.lit(1).cast("long"), w % 64)))
     lines = ranked.filter(n > 0).select(
-        "doc", "hash", "pos", F.xxhash64("words").alias("key"), n.alias("n"), parity.alias("parity"), prefix.alias("prefix")
+        "doc", "hash", "pos", F.xxhash64("words").alias("key"), n.alias("n"), *_parity("words"), prefix.alias("prefix")
     )
     lines = stored(lines, "lines")
 
     # One entry for each set of words: its first line, numbered in the order of lines.
-    first = F.min(F.struct("doc", "pos", "parity", "prefix")).alias("f")
+    first = F.min(F.struct("doc", "pos", *BITS, "prefix")).alias("f")
     entries = lines.groupBy("key", "n").agg(first, F.count("*").alias("copies")).select("key", "n", "copies", "f.*")
     entries = entries.repartitionByRange(partitions(docs.sparkSession), "doc", "pos", "key").sortWithinPartitions("doc", "pos", "key")
     ordered = stored(entries.withColumn("entry", F.monotonically_increasing_id()), "ordered")
-    entries = stored(ordered.drop("prefix", "parity"), "entries")
+    entries = stored(ordered.drop("prefix", *BITS), "entries")
     whole, lines = lines, stored(lines.select("doc", "hash", "pos", "key", "n"), "places")
     dropped(whole)
 
     # Sets of up to three words are similar to equal ones only.
     smallest = next(k for k in range(1, 1000) if k * 1000 >= (k + 1) * round(threshold * 1000)) if threshold < 1 else 1 << 30
-    spread = ordered.filter(F.col("n") >= smallest).select(F.posexplode("prefix").alias("at", "word"), "entry", "n", "parity")
+    spread = ordered.filter(F.col("n") >= smallest).select(F.posexplode("prefix").alias("at", "word"), "entry", "n", *BITS)
     # Words of a single entry, most of the rare ones, meet nobody.
     same = Window.partitionBy("word")
-    member = F.struct("entry", "n", "at", "parity")
-    met = spread.select("word", "entry", "n", "at", "parity", F.count("*").over(same).alias("members"), F.min(member).over(same).alias("hub"))
+    member = F.struct(*MEMBER)
+    met = spread.select("word", *MEMBER, F.count("*").over(same).alias("members"), F.min(member).over(same).alias("hub"))
     met = stored(met.filter("members > 1"), "met")
     dropped(ordered)
 
-    def candidates(met: DataFrame, a: str, b: str) -> DataFrame:
+    def candidates(met: DataFrame) -> DataFrame:
         """(later, earlier) of pairs that may match, with how near they look: differing parity bits, and shared prefix words."""
-        far = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
-        pairs = met.filter(F.col(f"{a}.entry") > F.col(f"{b}.entry")).filter(_may_match(a, b, threshold))
-        pairs = pairs.select(F.col(f"{a}.entry").alias("later"), F.col(f"{b}.entry").alias("earlier"), far.alias("far"))
+        pairs = met.filter(F.col("a_entry") > F.col("b_entry")).filter(_may_match(threshold))
+        pairs = pairs.select(F.col("a_entry").alias("later"), F.col("b_entry").alias("earlier"), _far().alias("far"))
         return pairs.groupBy("later", "earlier").agg(F.min("far").alias("far"), (-F.count("*")).alias("shared"))
 
     def settled(pairs: DataFrame) -> DataFrame:
@@ -173,14 +208,14 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         return _verified(pairs.select("later", "earlier"), entries, source, levels, threshold)
 
     nearest = F.min(F.struct("far", "shared", "earlier"))["earlier"].alias("earlier")
-    star = stored(candidates(met.select(member.alias("a"), "hub"), "a", "hub"), "star")
+    star = stored(candidates(met.select(*_side("a"), *_side("b", "hub."))), "star")
     gone = settled(star.groupBy("later").agg(nearest))
 
-    rest = met.filter("members > 2").select("word", "entry", "n", "at", "parity", (F.col("hub.entry") == F.col("entry")).alias("is_hub"))
+    rest = met.filter("members > 2").select("word", *MEMBER, (F.col("hub.entry") == F.col("entry")).alias("is_hub"))
     # What its nearest hub removed meets nobody else as a later line.
-    a = _without(rest, gone).select("word", member.alias("a"))
-    b = rest.filter("NOT is_hub").select("word", member.alias("b"))
-    more = candidates(a.join(b, "word"), "a", "b").unionByName(star.join(gone, "later", "left_anti"))
+    a = _without(rest, gone).select("word", *_side("a"))
+    b = rest.filter("NOT is_hub").select("word", *_side("b"))
+    more = candidates(a.join(b, "word")).unionByName(star.join(gone, "later", "left_anti"))
     # First the earlier line that looks nearest, of each later one; all its others only where that one is not similar.
     pairs = stored(more, "pairs")
     dropped(met, star)

@@ -279,3 +279,31 @@ def test_rarity_is_counted_in_all_documents(spark, monkeypatch):
     docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('only ', id) AS text")
     assert line_dedup.removed_lines(docs).count() == 0
     assert seen == [40_000]
+
+
+def test_long_lines_meet_few_others(spark, monkeypatch):
+    """Lines of 30 to 500 words and near copies of them, against brute force, and the number of pairs that are stored."""
+    draw = random.Random(5)
+    lines = []
+    for n in [30, 47, 48, 49, 60, 100, 111, 112, 113, 130] * 20 + [200, 260, 399, 400, 500] * 8:
+        line = [f"w{draw.randrange(2500)}" for _ in range(n)]
+        lines.append(line)
+        if draw.random() < 0.5:
+            # Around the threshold, and of another size.
+            k = round(n * draw.choice((0.05, 0.1, 0.12, 0.2)))
+            lines.append([*line[k:], *(f"x{draw.randrange(10**6)}" for _ in range(draw.choice((0, k))))])
+    draw.shuffle(lines)
+    docs = spark.createDataFrame([(i, " ".join(line)) for i, line in enumerate(lines)], "doc_id long, text string")
+    sizes, put = {}, line_dedup.stored
+
+    def counted(df, name):
+        table = put(df, name)
+        sizes.setdefault(name, table.count())
+        return table
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    sets = [frozenset(line) for line in lines]
+    similar = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) * 1000 >= 800 * len(a | b)]
+    assert {r["doc"] for r in line_dedup.removed_lines(docs).collect()} == {i for i, _ in similar} != set()
+    # Besides the similar pairs those near the threshold may pass the parity bits, and few by chance.
+    assert sizes["star"] + sizes["pairs"] <= 2 * len(lines)
