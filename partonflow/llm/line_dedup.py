@@ -18,8 +18,8 @@ more to it, whether that earlier line itself stays or not.
 * A pair must pass the length and the positional filter, and the Hamming
   distance of parity bits of the two sets, which is never larger than their
   difference, before the sets themselves are compared.  The index has 64 of them for a short
-  line, and up to 256 for a long one, which may differ in more words than 64 bits can tell
-  from chance; a pair is compared in as many bits as both its lines have.
+  line and 128 for a long one, which may differ in more words than 64 bits can tell from
+  chance (from about 250 words on, more than 128 can); a pair is compared in as many as both have.
 
 Built-in functions only.  Texts do not move but those of documents with a pair
 to verify or a line to remove.  Tables are dropped, and shuffle files given up, as
@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from partonflow.llm.common import WORD_SPLIT, dropped, partitions, stored, unused
 
 SLOT_BITS, PER_LONG = 18, 16
-#: Lines of more words than these have 128 and 256 parity bits, others 64.
-LONGER = (48, 112)
-BITS = ("parity", "half", "first", "second")
+#: Lines of more words have 128 parity bits, others 64.
+LONGER = 72
+BITS = ("parity", "half")
 MEMBER = ("entry", "n", "at", *BITS)
 #: Parity bits of a set where pairs are verified.
 WIDE = 256
@@ -127,35 +127,24 @@ def _may_match(threshold: float) -> Column:
         (na * 1000 >= nb * t)
         & (nb * 1000 >= na * t)
         & (reach >= overlap)
-        & (_differing(0) <= both - 2 * overlap)
+        & (_far(longer=False) <= both - 2 * overlap)
         & (_far() <= both - 2 * overlap)
     )
 
 
 def _parity(words: str) -> list[Column]:
-    """The columns BITS of a set: parity of 64 slots; of long sets, of the first 64 of 128, and of the first and second 64 of 256."""
-
-    def bits(parts: int, part: int) -> Column:
-        one = lambda w: _shift("shiftleft", F.lit(1).cast("long"), w % 64)
-        mine = lambda w: one(w) if parts == 1 else F.when(F.shiftright(w, 6) % parts == part, one(w)).otherwise(F.lit(0).cast("long"))
-        return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(mine(w)))
-
-    longer = [F.when(F.size(words) > n, x).otherwise(F.lit(0).cast("long")) for n, x in ((LONGER[0], bits(2, 0)), (LONGER[1], bits(4, 0)), (LONGER[1], bits(4, 1)))]
-    return [x.alias(name) for x, name in zip([bits(1, 0), *longer], BITS, strict=True)]
-
-
-def _differing(level: int) -> Column:
-    """Differing bits of a_ and b_, of 64, 128 or 256: what is not kept of a set is what its kept part differs in from the whole."""
-    whole, half, first, second = (F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}")) for x in BITS)
-    rest = whole.bitwiseXOR(half)
-    longs = ([whole], [half, rest], [first, half.bitwiseXOR(first), second, rest.bitwiseXOR(second)])[level]
-    return sum((F.bit_count(x) for x in longs[1:]), F.bit_count(longs[0]))
-
-
-def _far() -> Column:
-    """Differing bits of a_ and b_, of as many as both have."""
-    least = F.least("a_n", "b_n")
-    return F.when(least > LONGER[1], _differing(2)).when(least > LONGER[0], _differing(1)).otherwise(_differing(0))
+    """The columns BITS of a set: parity of 64 slots and, of a long set, of the first 64 of 128."""
+    none, one = F.lit(0).cast("long"), lambda w: _shift("shiftleft", F.lit(1).cast("long"), w % 64)
+    whole = F.aggregate(words, none, lambda acc, w: acc.bitwiseXOR(one(w)))
+    half = F.aggregate(words, none, lambda acc, w: acc.bitwiseXOR(F.when(F.shiftright(w, 6) % 2 == 0, one(w)).otherwise(none)))
+    return [whole.alias("parity"), F.when(F.size(words) > LONGER, half).otherwise(none).alias("half")]
+
+
+def _far(longer: bool = True) -> Column:
+    """Differing parity bits of a_ and b_, of as many as both have: the half that is not kept is what the other differs in from the whole."""
+    whole, half = (F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}")) for x in BITS)
+    both = F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))
+    return F.when(F.least("a_n", "b_n") > LONGER, both).otherwise(F.bit_count(whole)) if longer else F.bit_count(whole)
 
 
 def _side(name: str, of: str = "") -> list[Column]:
