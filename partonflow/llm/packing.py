@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partonflow.llm.common import by_size, stored
+from partonflow.llm.common import by_size, slim, stored
 
 #: Texts of these characters only, where Python's classes and lower case agree with the tokenizer's.
 PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]*")
@@ -45,9 +45,12 @@ PLAIN_SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 class WordCodec(dict):
-    """Ids of whole texts by word: each distinct word is encoded once by the tokenizers library."""
+    """Ids of whole texts by word, each encoded by the tokenizers library; at most twice ``limit`` words are remembered.
 
-    def __init__(self, path: str, limit: int = 800_000):
+    Words that occur once fill the table.  When it is full it becomes ``before``, and what is used again comes back from there.
+    """
+
+    def __init__(self, path: str, limit: int = 1 << 17):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -55,16 +58,19 @@ class WordCodec(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.symbols = dict(enumerate(_symbols()))
-        self.limit = limit
+        self.limit, self.before = limit, {}
         probe = "don't stop, naïve 42 été"
         if self.encode(probe) != _packed(self.tokenizer.encode(probe, add_special_tokens=False).ids):
             self.encode = lambda text: _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
-        tokens = self.tokenizer.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.symbols))
-        ids = _packed([t.id for t in tokens])
+        ids = self.before.get(word)
+        if ids is None:
+            tokens = self.tokenizer.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.symbols))
+            ids = _packed([t.id for t in tokens])
         if len(word) <= 64:
             if len(self) >= self.limit:
+                self.before = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -96,24 +102,28 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     end = _packed([end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Workers are used again; this one may come from a stage that needed more.
+        slim()
         codec = word_codec(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in by_size(texts):
-                keys, number, start, length, ids = [], [], [], [], []
-                for row in range(a, b):
-                    made = codec.encode(texts[row] or "") + end
-                    for k, at in enumerate(range(0, len(made), 4 * capacity)):
-                        part = made[at : at + 4 * capacity]
-                        keys.append(row)
-                        number.append(k)
-                        start.append(at // 4)
-                        length.append(len(part) // 4)
-                        ids.append(part)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(keys, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "piece", "start", "length", "ids"],
-                )
+            # Few texts at a time are Python strings beside the batch that they are in.
+            few = (batch.slice(k, 256) for k in range(0, batch.num_rows, 256))
+            for rows, texts in ((rows, rows.column(1).to_pylist()) for rows in few):
+                for a, b in by_size(texts):
+                    keys, number, start, length, ids = [], [], [], [], []
+                    for row in range(a, b):
+                        made = codec.encode(texts[row] or "") + end
+                        for k, at in enumerate(range(0, len(made), 4 * capacity)):
+                            part = made[at : at + 4 * capacity]
+                            keys.append(row)
+                            number.append(k)
+                            start.append(at // 4)
+                            length.append(len(part) // 4)
+                            ids.append(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column(0).take(pa.array(keys, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
+                        names=["doc_id", "piece", "start", "length", "ids"],
+                    )
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids binary"

@@ -307,3 +307,14 @@ def test_long_lines_meet_few_others(spark, monkeypatch):
     assert {r["doc"] for r in line_dedup.removed_lines(docs).collect()} == {i for i, _ in similar} != set()
     # Besides the similar pairs those near the threshold may pass the parity bits, and few by chance.
     assert sizes["star"] + sizes["pairs"] <= 2 * len(lines)
+
+
+def test_word_codec_forgets_words_that_occur_once():
+    codec, library = packing.WordCodec(WORDS), Tokenizer.from_file(WORDS)
+    for k in range(0, 300_000, 1000):
+        codec.encode(" ".join(f"q{i:x}z".translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(k, k + 1000)))
+    assert len(codec) + len(codec.before) <= 1 << 18
+    few = packing.WordCodec(WORDS, limit=5)
+    for text in ["one two three four five six seven", "one two eight nine ten", "two one eleven three"] * 2:
+        assert few.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(few) <= 5 and len(few.before) <= 5
