@@ -153,24 +153,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = some.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a != z").select("doc_id", "a")
     links = some.join(first, "doc_id").select("a", F.col("cls").alias("b")).filter("a != b").distinct()
     found = components(links)
-    done, hubs, narrow, tested = None, 1, NARROW, None
+    done, hubs, narrow, tested, labelled = None, 1, NARROW, None, None
     while True:
-        label = found.select(F.col("id").alias("cls"), "component")
-        labelled = members.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-        labelled = stored(labelled.join(apart, "key"), "open")
+        if labelled is None:
+            # Where no component has grown, the open buckets stay as they are.
+            label = found.select(F.col("id").alias("cls"), "component")
+            labelled = members.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+            apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+            labelled, loose = stored(labelled.join(apart, "key"), "open"), None
         if hubs == 1:
             chosen = labelled.groupBy("key").agg(F.max(F.struct("weight", "cls"))["cls"].alias("hub"))
         else:
             # The members outside the largest component of a bucket that have not been hubs yet; more of them each round.
             # A class is a hub in all its open buckets at once, so what is done is known by class.
-            counts = labelled.groupBy("key", "component").agg(F.count("*").alias("c"))
-            top = F.max(F.struct("c", "component"))
-            largest = counts.groupBy("key").agg(top["component"].alias("largest"), (F.sum("c") - top["c"]).alias("number"))
-            outside = labelled.join(largest, "key").filter("component != largest").groupBy("cls").agg(F.max("number").alias("number"))
-            loose = stored(outside if done is None else outside.join(done, "cls", "left_anti"), "loose")
-            place = F.pmod(F.xxhash64("cls"), F.lit(1 << 20))
-            hub = stored(loose.filter(place * F.col("number") < F.lit(hubs << 20)).select("cls"), "hub")
+            if loose is None:
+                counts = labelled.groupBy("key", "component").agg(F.count("*").alias("c"))
+                top = F.max(F.struct("c", "component"))
+                largest = counts.groupBy("key").agg(top["component"].alias("largest"), (F.sum("c") - top["c"]).alias("number"))
+                outside = labelled.join(largest, "key").filter("component != largest").groupBy("cls").agg(F.max("number").alias("number"))
+                # Written first, as Spark would look up what is done for each member of each bucket instead.
+                loose = stored(outside, "loose")
+                if done is not None:
+                    loose = stored(loose.join(done, "cls", "left_anti"), "loose")
+            turn = F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) * F.col("number") < F.lit(hubs << 20)
+            hub, loose = stored(loose.filter(turn).select("cls"), "hub"), loose.filter(~turn)
             chosen = labelled.join(hub, "cls").select("key", F.col("cls").alias("hub"))
         chosen = stored(chosen, "hubs")
         if narrow and chosen.limit(1).count():
@@ -184,7 +190,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             linked = stored(_verified(meets.select(F.col("hub").alias("a"), F.col("cls").alias("b")), signed, full, percent), "links")
             narrow -= 1
             if linked.limit(1).count():
-                found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(linked))
+                found, labelled = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(linked)), None
             else:
                 narrow = 0
             continue
@@ -198,7 +204,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         pairs = _meetings(labelled, chosen, signed, percent).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
         linked = stored(_verified(pairs, signed, full, percent), "links")
         if linked.limit(1).count():
-            found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(linked))
+            found, labelled = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(linked)), None
         hubs = hubs * 4 if hubs > 1 else 2
     # A component goes by the smallest id of its classes.
     label = classes.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))

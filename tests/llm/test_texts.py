@@ -318,3 +318,24 @@ def test_word_codec_forgets_words_that_occur_once():
     for text in ["one two three four five six seven", "one two eight nine ten", "two one eleven three"] * 2:
         assert few.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     assert len(few) <= 5 and len(few.before) <= 5
+
+
+def test_minhash_rounds_without_links_repeat_nothing(spark, monkeypatch):
+    """Texts at a similarity of 0.7: every bucket stays open until all its members have been hubs."""
+    base = " ".join(f"w{i}" for i in range(100))
+    texts = [(d, f"{base} " + " ".join(f"x{d}y{i}" for i in range(20))) for d in range(60)]
+    docs = spark.createDataFrame([*texts, (60, texts[0][1] + " more")], "doc_id long, text string")
+    made, put = [], minhash.stored
+
+    def kept(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        # Spark moves an anti join below a grouping by the same key, where it meets the members of all buckets.
+        assert not ("LeftAnti [cls" in plan.replace("Join ", "") and "Aggregate [cls" in plan) or name != "loose"
+        made.append(name)
+        return put(df, name)
+
+    monkeypatch.setattr(minhash, "stored", kept)
+    rows = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert rows == {d: d for d in range(60)} | {60: 0}
+    # Once more for the one link that is found; the rounds after it find none.
+    assert made.count("hubs") > 4 and made.count("open") <= 2
