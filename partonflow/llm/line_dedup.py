@@ -11,10 +11,12 @@ more to it, whether that earlier line itself stays or not.
 * Lines with the same set are one entry of the join, so copies never meet.  Entries
   are numbered in the order of (doc_id, position); the index of prefix words holds
   that number, the size, the place of the word and the parity bits, nothing else.
-* Entries that share a prefix word meet the first of them, its hub; an entry is
+* Entries that share a prefix word meet the first HUBS of them, its hubs; an entry is
   compared with the hub that looks nearest, and what is removed need not be compared
-  again as a later line.  Only the rest meets all earlier entries of its words, again
+  again as a later line.  Only the rest meets all other earlier entries of its words, again
   the nearest first.  So a large group of near copies mostly costs its size, not its square.
+* The index is made and joined in SLICES parts by word, one after the other, so that
+  the shuffle files of one part are on disk at a time.
 * A pair must pass the length and the positional filter, and the Hamming
   distance of parity bits of the two sets, which is never larger than their
   difference, before the sets themselves are compared.  The index has 64 of them for a short
@@ -33,14 +35,20 @@ they were one id: of two rows with NULL and different texts the lines are in ord
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partonflow.llm.common import WORD_SPLIT, dropped, partitions, stored, unused
+from partonflow.llm.common import WORD_SPLIT, dropped, partitions, released, stored, unused
 
 SLOT_BITS, PER_LONG = 18, 16
 #: Lines of more words have 128 parity bits, others 64.
-LONGER = 72
+LONGER = 36
+#: Parts of the index, by word.  They are shuffled one after the other, so that the shuffle files of one are on disk at a time.
+SLICES = 3
+#: Entries of each word that all its later ones meet.
+HUBS = 4
 BITS = ("parity", "half")
 MEMBER = ("entry", "n", "at", *BITS)
 #: Parity bits of a set where pairs are verified.
@@ -120,9 +128,10 @@ def _may_match(threshold: float) -> Column:
     t = round(threshold * 1000)
     na, nb, pa, pb = (F.col(f"{x}_{y}").cast("long") for y in ("n", "at") for x in ("a", "b"))
     both = na + nb
-    # The smallest overlap that reaches the threshold; here a common word is at pa and pb, and all before differ or count less.
+    # The smallest overlap that reaches the threshold.  All of it lies from the first common word on, so that word's
+    # row passes; rows of the same pair for later common words need not.
     overlap = F.ceil(both * t / (1000 + t) - 1e-9)
-    reach = F.least(na - pa, nb - pb) + F.least(pa, pb)
+    reach = F.least(na - pa, nb - pb)
     return (
         (na * 1000 >= nb * t)
         & (nb * 1000 >= na * t)
@@ -180,10 +189,14 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     smallest = next(k for k in range(1, 1000) if k * 1000 >= (k + 1) * round(threshold * 1000)) if threshold < 1 else 1 << 30
     spread = ordered.filter(F.col("n") >= smallest).select(F.posexplode("prefix").alias("at", "word"), "entry", "n", *BITS)
     # Words of a single entry, most of the rare ones, meet nobody.
-    same = Window.partitionBy("word")
-    member = F.struct(*MEMBER)
-    met = spread.select("word", *MEMBER, F.count("*").over(same).alias("members"), F.min(member).over(same).alias("hub"))
-    met = stored(met.filter("members > 1"), "met")
+    same = Window.partitionBy("word").orderBy("entry").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    hubs = F.array(*[F.nth_value(F.struct(*MEMBER), k + 1).over(same) for k in range(HUBS)])
+    met = []
+    for part in range(SLICES):
+        some = spread.filter(F.pmod("word", F.lit(SLICES)) == part)
+        some = some.select("word", *MEMBER, F.count("*").over(same).alias("members"), hubs.alias("hubs"))
+        met.append(stored(some.filter("members > 1"), "met"))
+        released(docs.sparkSession)
     dropped(ordered)
 
     def candidates(met: DataFrame) -> DataFrame:
@@ -197,17 +210,22 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         return _verified(pairs.select("later", "earlier"), entries, source, levels, threshold)
 
     nearest = F.min(F.struct("far", "shared", "earlier"))["earlier"].alias("earlier")
-    star = stored(candidates(met.select(*_side("a"), *_side("b", "hub."))), "star")
+    rays = reduce(DataFrame.unionByName, met).select(*MEMBER, F.explode("hubs").alias("hub")).filter("hub IS NOT NULL AND entry > hub.entry")
+    star = stored(candidates(rays.select(*_side("a"), *_side("b", "hub."))), "star")
     gone = settled(star.groupBy("later").agg(nearest))
 
-    rest = met.filter("members > 2").select("word", *MEMBER, (F.col("hub.entry") == F.col("entry")).alias("is_hub"))
-    # What its nearest hub removed meets nobody else as a later line.
-    a = _without(rest, gone).select("word", *_side("a"))
-    b = rest.filter("NOT is_hub").select("word", *_side("b"))
-    more = candidates(a.join(b, "word")).unionByName(star.join(gone, "later", "left_anti"))
+    more = []
+    for some in met:
+        rest = some.filter(F.col("members") > HUBS + 1).filter(F.col("entry") > F.get("hubs", F.lit(HUBS - 1))["entry"]).select("word", *MEMBER)
+        # What its nearest hub removed meets nobody else as a later line.
+        a = _without(rest, gone).select("word", *_side("a"))
+        b = rest.select("word", *_side("b"))
+        more.append(stored(candidates(a.join(b, "word")), "more"))
+        dropped(some)
+    both = reduce(DataFrame.unionByName, more).groupBy("later", "earlier").agg(F.min("far").alias("far"), F.sum("shared").alias("shared"))
     # First the earlier line that looks nearest, of each later one; all its others only where that one is not similar.
-    pairs = stored(more, "pairs")
-    dropped(met, star)
+    pairs = stored(both.unionByName(star.join(gone, "later", "left_anti")), "pairs")
+    dropped(star, *more)
     gone = stored(gone.unionByName(settled(pairs.groupBy("later").agg(nearest))), "gone")
     gone = gone.unionByName(settled(pairs.join(gone, "later", "left_anti"))).distinct().withColumn("similar", F.lit(True))
 

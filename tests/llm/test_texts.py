@@ -339,3 +339,11 @@ def test_minhash_rounds_without_links_repeat_nothing(spark, monkeypatch):
     assert rows == {d: d for d in range(60)} | {60: 0}
     # Once more for the one link that is found; the rounds after it find none.
     assert made.count("hubs") > 4 and made.count("open") <= 2
+
+
+def test_pairs_of_lines_pass_at_their_first_common_word(spark):
+    # Two sets of 50 words need 45 in common: with no common word before place 6 there are at most 44; of 50 and 60 words, 49.
+    rows = [(50, at, 0, 0, 50, at, 0, 0) for at in range(10)] + [(50, 1, 0, 0, 60, 9, 0, 0), (50, 1, 0, 0, 60, 13, 0, 0)]
+    pairs = spark.createDataFrame(rows, ", ".join(f"{x}_{c} bigint" for x in "ab" for c in ("n", "at", *line_dedup.BITS)))
+    kept = pairs.filter(line_dedup._may_match(0.8)).select("b_n", "b_at").collect()
+    assert sorted(map(tuple, kept)) == [(50, at) for at in range(6)] + [(60, 9)]
