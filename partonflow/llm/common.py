@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
@@ -9,6 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +54,19 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def released(spark: SparkSession) -> None:
-    """Have the driver look for plans that are no longer referred to; Spark then removes their shuffle files."""
+    """Have the driver look for plans that are no longer referred to; Spark then removes their shuffle files.
+
+    What the compilers and pools of the driver's JVM have freed outside its heap goes back to the system, where the JVM can do that.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    jvm.System.gc()
+    # Called through the interface, as the class of the server is not open to callers; a JVM without the command raises.
+    with contextlib.suppress(Py4JError):
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        arguments = gateway.new_array(jvm.java.lang.Object, 4)
+        arguments[0], arguments[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), arguments)
 
 
 def slim() -> None:

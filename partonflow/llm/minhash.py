@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partonflow.llm.common import ascii_words, mix64, stored
+from partonflow.llm.common import ascii_words, dropped, mix64, stored
 from partonflow.llm.components import components
 
 BANDS, ROWS = 40, 6
@@ -145,6 +145,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     met = stored(everywhere.join(shared, "key"), "met")
     # How many others a class meets: the largest in a group of near copies is the one that most of them resemble.
     members = stored(met.drop("size").join(met.groupBy("cls").agg(F.sum("size").alias("weight")), "cls"), "buckets")
+    dropped(met)
     near = members.select("cls").distinct()
     signed = stored(signed.join(near, "cls"), "signed").select("cls", "bands", "odd")
     full = stored(_sets(docs, some.select("doc_id", "cls").join(near, "cls"), doc_id, text, width), "sets")
@@ -153,8 +154,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = some.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a != z").select("doc_id", "a")
     links = some.join(first, "doc_id").select("a", F.col("cls").alias("b")).filter("a != b").distinct()
     found = components(links)
-    done, hubs, narrow, tested, labelled = None, 1, NARROW, None, None
+    done, hubs, narrow, tested, labelled, loose = None, 1, NARROW, None, None, None
+
+    def grown(linked: DataFrame) -> DataFrame:
+        """``found`` with these links."""
+        made = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(linked))
+        spent.extend(t for t in (found, labelled, loose) if t is not None)
+        return made
+
+    # Tables, broadcasts and plans of a round go before the next, or they pile up in the driver.
+    spent: list[DataFrame] = []
     while True:
+        dropped(*spent)
+        spent.clear()
         if labelled is None:
             # Where no component has grown, the open buckets stay as they are.
             label = found.select(F.col("id").alias("cls"), "component")
@@ -174,11 +186,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 # Written first, as Spark would look up what is done for each member of each bucket instead.
                 loose = stored(outside, "loose")
                 if done is not None:
+                    spent.append(loose)
                     loose = stored(loose.join(done, "cls", "left_anti"), "loose")
             turn = F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) * F.col("number") < F.lit(hubs << 20)
             hub, loose = stored(loose.filter(turn).select("cls"), "hub"), loose.filter(~turn)
             chosen = labelled.join(hub, "cls").select("key", F.col("cls").alias("hub"))
         chosen = stored(chosen, "hubs")
+        spent.append(chosen)
         if narrow and chosen.limit(1).count():
             # First each member meets one hub only, the one of most of its buckets: large groups grow together
             # for as many comparisons as they have members, and few buckets stay apart.
@@ -186,26 +200,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             if tested is not None:
                 meets = meets.join(tested, ["cls", "hub"], "left_anti")
             meets = stored(meets.groupBy("cls").agg(F.max(F.struct("c", "hub"))["hub"].alias("hub")), "meets")
-            tested = meets if tested is None else stored(tested.union(meets), "tested")
-            linked = stored(_verified(meets.select(F.col("hub").alias("a"), F.col("cls").alias("b")), signed, full, percent), "links")
+            if tested is None:
+                tested = meets
+            else:
+                spent += [tested, meets]
+                tested = stored(tested.union(meets), "tested")
+            linked = _verified(meets.select(F.col("hub").alias("a"), F.col("cls").alias("b")), signed, full, percent)
+            spent.append(linked)
             narrow -= 1
             if linked.limit(1).count():
-                found, labelled = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(linked)), None
+                found, labelled = grown(linked), None
             else:
                 narrow = 0
             continue
         if not chosen.limit(1).count():
+            spent += [] if hubs == 1 else [hub]
             if hubs == 1 or not loose.limit(1).count():
                 break
             hubs *= 4
             continue
-        if hubs > 1:
-            done = hub if done is None else stored(done.union(hub), "done")
+        if hubs > 1 and done is None:
+            done = hub
+        elif hubs > 1:
+            spent += [done, hub]
+            done = stored(done.union(hub), "done")
         pairs = _meetings(labelled, chosen, signed, percent).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-        linked = stored(_verified(pairs, signed, full, percent), "links")
+        linked = _verified(pairs, signed, full, percent)
+        spent.append(linked)
         if linked.limit(1).count():
-            found, labelled = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(linked)), None
+            found, labelled = grown(linked), None
         hubs = hubs * 4 if hubs > 1 else 2
+    dropped(*spent, *(t for t in (members, signed, full, labelled, loose, done, tested) if t is not None))
     # A component goes by the smallest id of its classes.
     label = classes.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     smallest = label.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -244,7 +269,7 @@ def _sets(docs: DataFrame, near: DataFrame, doc_id: str, text: str, width: int)
 
 
 def _verified(pairs: DataFrame, signed: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs that agree in two bands and whose full sets reach the similarity."""
+    """(a, b) of the pairs that agree in two bands and whose full sets reach the similarity, stored."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -258,9 +283,12 @@ def _verified(pairs: DataFrame, signed: DataFrame, full: DataFrame, percent: int
     for name in ("a", "b"):
         pairs = pairs.join(signed.select(F.col("cls").alias(name), F.col("bands").alias(f"{name}_bands")), name)
     pairs = stored(pairs.filter(F.size(F.array_intersect("a_bands", "b_bands")) >= 2).select("a", "b"), "pairs")
+    asked = pairs
     # Only the sets in use move; a short list of them is broadcast, as its stored size tells.
     used = stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "used")
     full = full.join(used, "cls", "left_semi")
     for name, column in (("a", "x"), ("b", "y")):
         pairs = pairs.join(full.select(F.col("cls").alias(name), F.col("hashes").alias(column)), name)
-    return pairs.select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint")
+    linked = stored(pairs.select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint"), "links")
+    dropped(asked, used)
+    return linked

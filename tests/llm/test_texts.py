@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from partonflow.llm import bpe, fingerprint, html_extract, langid, line_dedup, lm_score, minhash, packing, queries, toxicity
+from partonflow.llm import bpe, components, fingerprint, html_extract, langid, line_dedup, lm_score, minhash, packing, queries, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -347,3 +348,21 @@ def test_pairs_of_lines_pass_at_their_first_common_word(spark):
     pairs = spark.createDataFrame(rows, ", ".join(f"{x}_{c} bigint" for x in "ab" for c in ("n", "at", *line_dedup.BITS)))
     kept = pairs.filter(line_dedup._may_match(0.8)).select("b_n", "b_at").collect()
     assert sorted(map(tuple, kept)) == [(50, at) for at in range(6)] + [(60, 9)]
+
+
+def test_minhash_rounds_leave_no_tables_to_the_driver(spark, monkeypatch):
+    """Each text resembles the next one only, in groups of twelve, so that components grow for some rounds."""
+    texts = [(12 * g + k, " ".join(f"g{g}w{i}" for i in range(7 * k, 7 * k + 100))) for g in range(5) for k in range(12)]
+    made, put = [], minhash.stored
+
+    def kept(df, name):
+        made.append((name, put(df, name)))
+        return made[-1][1]
+
+    monkeypatch.setattr(minhash, "stored", kept)
+    monkeypatch.setattr(components, "stored", kept)
+    found = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
+    left = sorted(name for name, table in made if any(os.path.exists(f.removeprefix("file:").replace("///", "/")) for f in table.inputFiles()))
+    # The sets of all rows and the components that were found last; the result is made of them.
+    assert left == ["edges", "shingled"] and len(made) > 20
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {d: d - d % 12 for d, _ in texts}
