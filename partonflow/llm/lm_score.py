@@ -27,6 +27,7 @@ rows every token has the unigram floor.
 from __future__ import annotations
 
 import pickle
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partonflow.llm.common import ascii_words, mix64, partitions, stored
+from partonflow.llm.common import ascii_words, mix64, partitions, released, slim, stored
 
 #: The end of a text: no word has an empty hash input.
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
@@ -51,12 +52,12 @@ class Block:
 
     def __init__(self, texts: list[str | None]):
         known: dict[bytes, int] = {b"": 0}
-        tokens, self.sizes = [], []
+        tokens, self.sizes = array("i"), []
         for text in texts:
-            words = [known.setdefault(w, len(known)) for w in ascii_words(text)]
-            tokens += words
+            before = len(tokens)
+            tokens.extend(known.setdefault(w, len(known)) for w in ascii_words(text))
             tokens.append(0)
-            self.sizes.append(len(words) + 1)
+            self.sizes.append(len(tokens) - before)
         self.tokens = np.array(tokens, dtype=np.int64)
         self.hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in known], np.uint64)
         before = np.r_[0, self.tokens[:-1]] if len(tokens) else self.tokens
@@ -138,6 +139,7 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
         for batch in batches:
             for number, content in zip(batch["block"], batch["content"], strict=True):
                 yield questions(number, _rows(content))
+                slim()
 
     def questions(number: int, rows: list[tuple]) -> pd.DataFrame:
         block = Block([r[2] for r in rows])
@@ -160,6 +162,7 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
         return pd.DataFrame(out, columns=_ASK)
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        slim()
         pdf = pdf.sort_values("block")
         load = lambda c, t: [np.frombuffer(x, t) for x in pdf[c]]
         words, uni = load("words", np.uint64), load("uni", "<i4")
@@ -199,10 +202,16 @@ def score(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str =
         tokens, distinct = tokens + row[0], distinct + row[1]
         for h, k in zip(row[2::2], row[3::2], strict=True):
             kinds[h % 2**64] += k
+    # What was asked need not be on disk beside the answers on their way back.  Not right after the answers
+    # were written: Spark's listeners still hold that plan then, and a plan that outlives a collection stays long.
+    released(docs.sparkSession)
 
     def scored(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         rows = _rows(own["content"].iloc[0])
         block = Block([r[2] for r in rows])
+        # What is left of the rows has no texts, and what the block before it took goes back to the system.
+        rows = [r[:2] for r in rows]
+        slim()
         words, pairs = block.parts(count, spread)
         uni, types, bi = (np.zeros(n, np.int64) for n in (len(words), len(words), len(pairs)))
         by_word, by_pair = _grouped(words, count), _grouped(pairs, count)
@@ -254,24 +263,32 @@ class Automaton:
         seen = (bi > 0) & (uni[first] > 0)
         arc = np.maximum(bi - DISCOUNT, 0) / context[first] + share[first] * root[second]
         keep = np.flatnonzero(seen)
-        keys = (first[keep] * len(block.hashes) + second[keep]).tolist()
-        self.arcs = dict(zip(keys, np.log10(arc[keep]).tolist(), strict=True))
+        # Ascending, as the bigrams of a block are: the arcs of a state lie next to each other.
+        self.arcs = first[keep] * len(block.hashes) + second[keep]
+        self.weights = np.log10(arc[keep])
         self.states = uni > 0
 
-    def traverse(self) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of every token under the model and under its unigrams alone.
+    def step(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Weight of going on from each state with each token: its arc's, or that of the failure arc and the root's."""
+        out = self.failure[states] + self.root[tokens]
+        if len(self.arcs):
+            key = states * len(self.block.hashes) + tokens
+            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            out = np.where(self.arcs[at] == key, self.weights[at], out)
+        return out
+
+    def traverse(self, length: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of every token under the model and under its unigrams alone, ``length`` tokens at a time.
 
         The state is the last word where that is a context, else the root; it starts at the end of a text.
         """
-        size, arcs, root, failure = len(self.block.hashes), self.arcs, self.root.tolist(), self.failure.tolist()
-        out, state = [], 0
-        for token in self.block.tokens.tolist():
-            weight = arcs.get(state * size + token)
-            if weight is None:
-                weight = failure[state] + root[token]
-            out.append(weight)
-            state = token
-        return np.array(out), self.root[self.block.tokens]
+        tokens, state = self.block.tokens, np.zeros(1, np.int64)
+        out = np.empty(len(tokens))
+        for start in range(0, len(tokens), length):
+            some = tokens[start : start + length]
+            out[start : start + length] = self.step(np.r_[state, some[:-1]], some)
+            state = some[-1:]
+        return out, self.root[tokens]
 
 
 def _grouped(parts: np.ndarray, count: int):

@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -366,3 +367,17 @@ def test_minhash_rounds_leave_no_tables_to_the_driver(spark, monkeypatch):
     # The sets of all rows and the components that were found last; the result is made of them.
     assert left == ["edges", "shingled"] and len(made) > 20
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {d: d - d % 12 for d, _ in texts}
+
+
+def test_automaton_takes_few_bytes_a_token():
+    numbers = np.random.default_rng(0).integers(0, 20_000, 200_000)
+    block = lm_score.Block([" ".join(f"w{x}" for x in numbers), None, "w1 w2 w3"])
+    uni, bi = np.bincount(block.tokens), np.bincount(block.pair_of) - 1
+    types = np.bincount(block.first[bi > 0], minlength=len(uni))
+    tracemalloc.start()
+    automaton = lm_score.Automaton(block, uni, types, bi, len(block.tokens), len(uni))
+    model, base = automaton.traverse()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * len(block.tokens)
+    assert all(np.array_equal(a, b) for a, b in zip(automaton.traverse(7), (model, base), strict=True))
