@@ -372,7 +372,7 @@ def test_minhash_rounds_leave_no_tables_to_the_driver(spark, monkeypatch):
 def test_automaton_takes_few_bytes_a_token():
     numbers = np.random.default_rng(0).integers(0, 20_000, 200_000)
     block = lm_score.Block([" ".join(f"w{x}" for x in numbers), None, "w1 w2 w3"])
-    uni, bi = np.bincount(block.tokens), np.bincount(block.pair_of) - 1
+    uni, bi = np.bincount(block.tokens), np.bincount(block.pair_of)
     types = np.bincount(block.first[bi > 0], minlength=len(uni))
     tracemalloc.start()
     automaton = lm_score.Automaton(block, uni, types, bi, len(block.tokens), len(uni))
