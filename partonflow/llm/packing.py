@@ -42,12 +42,15 @@ from partonflow.llm.common import by_size, slim, stored
 PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]*")
 #: The tokenizer's split, on lower-cased plain text.
 PLAIN_SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Slots for what a codec has seen since its table was last full.
+SEEN = 1 << 21
 
 
 class WordCodec(dict):
-    """Ids of whole texts by word, each encoded by the tokenizers library; at most twice ``limit`` words are remembered.
+    """Ids of whole texts by what stands between white space, words encoded by the tokenizers library; at most twice ``limit`` are remembered.
 
-    Words that occur once fill the table.  When it is full it becomes ``before``, and what is used again comes back from there.
+    Few of those that occur once are remembered: ``seen`` has a byte for a hash of each that came, and a second one with that
+    hash is kept.  When the table is full it becomes ``before``, and what is used again comes back from there.
     """
 
     def __init__(self, path: str, limit: int = 1 << 17):
@@ -57,8 +60,9 @@ class WordCodec(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenize = self.tokenizer.model.tokenize
         self.symbols = dict(enumerate(_symbols()))
-        self.limit, self.before = limit, {}
+        self.limit, self.before, self.seen = limit, {}, bytearray(SEEN)
         probe = "don't stop, naïve 42 été"
         if self.encode(probe) != _packed(self.tokenizer.encode(probe, add_special_tokens=False).ids):
             self.encode = lambda text: _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -66,11 +70,19 @@ class WordCodec(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.before.get(word)
         if ids is None:
-            tokens = self.tokenizer.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.symbols))
-            ids = _packed([t.id for t in tokens])
+            letters = word.isalpha()
+            if not letters and len(parts := PLAIN_SPLIT.findall(word)) > 1:
+                ids = b"".join(map(self.__getitem__, parts))
+            else:
+                shown = word if letters and word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.symbols)
+                ids = _packed([t.id for t in self.tokenize(shown)])
+            slot = hash(word) % SEEN
+            if not self.seen[slot]:
+                self.seen[slot] = 1
+                return ids
         if len(word) <= 64:
             if len(self) >= self.limit:
-                self.before = dict(self)
+                self.before, self.seen = dict(self), bytearray(SEEN)
                 self.clear()
             self[word] = ids
         return ids
@@ -78,7 +90,8 @@ class WordCodec(dict):
     def encode(self, text: str) -> bytes:
         if "<|" in text or not PLAIN.fullmatch(text) or not unicodedata.is_normalized("NFC", text):
             return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.__getitem__, PLAIN_SPLIT.findall(text.lower())))
+        # No match of PLAIN_SPLIT holds white space, and none looks beyond itself.
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 def _symbols() -> list[str]:

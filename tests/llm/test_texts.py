@@ -322,6 +322,27 @@ def test_word_codec_forgets_words_that_occur_once():
     assert len(few) <= 5 and len(few.before) <= 5
 
 
+def test_word_codec_splits_what_it_remembers_no_more(monkeypatch):
+    codec, library = packing.WordCodec(WORDS), Tokenizer.from_file(WORDS)
+    splits = []
+
+    class Counting:
+        def findall(self, text, split=packing.PLAIN_SPLIT):
+            splits.append(text)
+            return split.findall(text)
+
+    monkeypatch.setattr(packing, "PLAIN_SPLIT", Counting())
+    text = "Don't stop (now), it's 42% off: don't_stop\x07, l'\xe9t\xe9... they'll've ''s 3\xa0000\u2003\xc0 la\x01 \x7f\x80 \u0130\u0130x."
+    want = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert [codec.encode(text) for _ in range(2)] == [want] * 2
+    del splits[:]
+    assert codec.encode(text) == want and splits == []
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab'stmdrevl09_-.,!\t\n \x00\x0b\x1b\x7f\x80\xa0\xaa\xb5\xba\xc9\xdf\u0130\u0149\u2003\u2019") for _ in range(rng.randint(0, 30)))
+        assert codec.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_minhash_rounds_without_links_repeat_nothing(spark, monkeypatch):
     """Texts at a similarity of 0.7: every bucket stays open until all its members have been hubs."""
     base = " ".join(f"w{i}" for i in range(100))
